@@ -132,7 +132,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return np.empty(0, dtype=np.uint64)
     span = min(k, n)
-    h = np.full(n - span + 1, np.uint64(span) * _GOLDEN, dtype=np.uint64)
+    h = np.full(n - span + 1, span, dtype=np.uint64) * _GOLDEN
     for j in range(span):
         h = mix64(h ^ words[j : n - span + 1 + j]) + _GOLDEN
     return h

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, media, near_dup, packing, pieces, secrets, sharding, warc
+from . import html_text, media, near_dup, ordinal, packing, perplexity, pieces, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (near_dup.op2_setsketch_groups, packing.op3_cost_balanced_packing, sharding.op4_slot_shards, secrets.op7_secret_scan, media.op8_telephony_audio, pieces.op6_offset_pieces, html_text.op9_main_text, warc.op10_capture_index)}
+    return {f.__name__: f for f in (ordinal.op1_ordinal_quality, perplexity.op5_perplexity_rules, near_dup.op2_setsketch_groups, packing.op3_cost_balanced_packing, sharding.op4_slot_shards, secrets.op7_secret_scan, media.op8_telephony_audio, pieces.op6_offset_pieces, html_text.op9_main_text, warc.op10_capture_index)}
 
 
 def oracle_sql() -> dict[str, str]:
