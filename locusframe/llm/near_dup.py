@@ -5,10 +5,11 @@ A document is the set of its k-word shingles. Each set gets a SetSketch: exponen
 registers bring candidates together, the joint likelihood of two sketches drops what is far below the threshold,
 and what is left is verified on the full sets. Links join into components.
 
-No group is ever expanded into pairs. Equal sets are one node. Within a band's bucket, nodes are compared with
-one hub a round, another hub each round, as long as that merges anything; after that only nodes whose
-components still differ are compared, which is the exact way for what stars did not settle. A link at the
-threshold is missed by all bands with a chance under 5e-8.
+No group is ever expanded into pairs. Equal sets are one node. Nodes of a bucket of SMALL at most are compared with
+each other; those of a larger one with its hub, the most central node, which joins nearly all. What is still apart
+in a large bucket is settled in blocks of two chunks of CHUNK nodes: a task compares a block's sets at once and returns
+only the links that join components. So every two nodes that share a bucket are compared or already joined, and a
+link at the threshold shares no bucket with a chance under 5e-8.
 
 Defined cases: a null text, or one without words, is an empty set: linked with nothing, its own component, kept; a text of
 fewer than k words is one shingle; repeated rows are of one component; a null doc_id counts as larger than all others; an
@@ -21,6 +22,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,10 @@ REGISTERS, BANDS, ROWS = 128, 32, 4
 B, A, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors below the threshold from which an estimate drops a candidate.
 SLACK = 6
-#: Rounds of hubs at most; what they leave is compared exhaustively.
-HUB_ROUNDS = 6
+#: Nodes of a bucket whose pairs are compared one by one, at most.
+SMALL = 12
+#: Nodes of a chunk, about. A block is two chunks, whatever a bucket's size.
+CHUNK = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOG_B = np.log(B)
 
@@ -125,7 +129,7 @@ def _sketch(k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = common.as_bytes(batch.column("text"))
-            for i, j in common.batches(texts):
+            for i, j in common.batches(texts, common.CHUNK_BYTES // 2):
                 sets = shingle_sets(texts[i:j], k)
                 registers = sketches(sets)
                 sums = [(int(s.sum(dtype=np.uint64)), int(mix64(s ^ _GOLDEN).sum(dtype=np.uint64))) for s in sets]
@@ -186,6 +190,39 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _spanning(k: int, percent: int):
+    """A block of a bucket: all pairs of nodes of its one or two chunks by a product of incidence matrices. Returns links that join labels, no more than it takes."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("node", kind="stable").drop_duplicates("node")
+        sets = shingle_sets([t.encode() for t in block["text"]], k)
+        sizes, chunk, (_, label) = np.array([len(s) for s in sets]), block["chunk"].to_numpy(), np.unique(block["label"].to_numpy(), return_inverse=True)
+        tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        column = np.cumsum(times > 1) - 1
+        shared = times[at] > 1
+        owner, column = owner[shared], column[at[shared]]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+            part = (column >= low) & (column < low + 4096)
+            there = np.zeros((len(sets), 4096), dtype=np.float32)
+            there[owner[part], column[part] - low] = 1
+            both += there @ there.T
+        linked = (100 + percent) * both >= percent * (sizes[:, None] + sizes[None, :])
+        if chunk.min() != chunk.max():
+            linked &= chunk[:, None] != chunk[None, :]
+        out, node = [], block["node"].to_numpy()
+        linked &= label[:, None] != label[None, :]
+        for i in range(len(sets)):
+            for j in np.flatnonzero(linked[i]):
+                if label[i] != label[j]:
+                    out.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after joining the labels that edges (a, b: nodes) link. Each label hooks to its smallest neighbour, chains are shortened by doubling, until no edge is left."""
     spark = labels.sparkSession
@@ -225,28 +262,35 @@ class Groups:
         self.labels = self._linked()
 
     def _linked(self) -> DataFrame:
+        """labels (node, label) of all nodes that share a bucket with another."""
         bands = self.nodes.mapInArrow(_bands, "bucket long, node long")
-        shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+        shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         buckets = common.cut(bands.join(shared, "bucket"), "buckets")
         labels = common.cut(buckets.select("node").distinct().withColumn("label", F.col("node")), "labels")
-        for turn in range(HUB_ROUNDS + 1):
-            open_buckets = buckets.join(labels, "node")
-            differ = open_buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.xxhash64("node", F.lit(turn))).alias("first")).where("x <> y")
-            if turn < HUB_ROUNDS:
-                at = open_buckets.join(differ.select("bucket", "first"), "bucket")
-                hubs = at.where(F.xxhash64("node", F.lit(turn)) == F.col("first")).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-                pairs = open_buckets.join(hubs, "bucket").where("label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            else:
-                still = common.cut(open_buckets.join(differ.select("bucket"), "bucket", "left_semi"), "unsettled")
-                other = still.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-                pairs = still.select("bucket", F.col("node").alias("a"), "label").join(other, "bucket").where("label <> label_b and a < b").select("a", "b")
-            found = self._verified(pairs.distinct())
-            if found is None:  # nothing merges: the rest is settled by comparing all that still differ
-                if turn == HUB_ROUNDS:
-                    break
-                continue
-            labels = contracted(labels, found)
-        return labels
+        small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
+        pairs = small.select("bucket", F.col("node").alias("a")).join(small.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
+        central = large.groupBy("node").agg(F.sum("size").alias("score"))
+        hubs = large.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
+        spokes = large.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        links = self._verified(pairs.union(spokes).distinct())
+        if links is not None:
+            labels = contracted(labels, links)
+        links = self._settled(large, labels)
+        return labels if links is None else contracted(labels, links)
+
+    def _settled(self, large: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Links between what is still apart in large buckets. A bucket is dealt to blocks of two chunks, which a task compares without emitting a pair."""
+        opened = large.join(labels, "node")
+        differ = opened.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        opened = opened.join(differ, "bucket", "left_semi").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        opened = common.cut(opened, "open_buckets")
+        if opened.isEmpty():
+            return None
+        texts = self.rows.select(F.col("row").alias("node"), "text").join(opened.select("node").distinct(), "node", "left_semi")
+        blocks = opened.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = blocks.groupBy("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+        links = common.cut(dealt.applyInPandas(_spanning(self.k, self.percent), "a long, b long").distinct(), "links")
+        return None if links.isEmpty() else links
 
     def _verified(self, pairs: DataFrame) -> DataFrame | None:
         of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))

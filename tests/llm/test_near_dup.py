@@ -95,3 +95,31 @@ def test_sketches_estimate_and_merge():
             assert (near_dup.merged(s[0], s[1]) == s[2]).all()
             est.append(near_dup.joint_similarity(s[:1], s[1:2], np.array([len(a)]), np.array([len(b)]))[0])
         assert abs(np.mean(est) - both / (2 * n - both)) < 0.04
+
+
+def test_large_bucket_of_scattered_copies(spark):
+    """A centre with copies at all distances, copies of far copies, shorter ones, and texts that share a passage only."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    centre, texts = word(150), {}
+
+    def edited(words, n):
+        own = list(words)
+        for at in rng.choice(len(own), n, replace=False):
+            own[at] = word(1)[0]
+        return own
+
+    texts[500] = " ".join(centre)
+    for i in range(250):
+        own = edited(centre, int(rng.integers(1, 14)))
+        texts[i] = " ".join(own[: int(rng.integers(120, 151))] if i % 5 == 0 else own)
+    for c in range(3):
+        far = edited(centre, 12)
+        for i in range(40):
+            texts[600 + 100 * c + i] = " ".join(edited(far, int(rng.integers(1, 9))))
+    for i in range(60):
+        texts[1000 + i] = " ".join(word(20) + centre[:60] + word(20))
+    want = brute(texts, 4)
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, k=4).collect()} == want
+    assert 2 < len({c for _, c in want.values()}) < len(want)
