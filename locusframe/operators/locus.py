@@ -3,6 +3,9 @@
 Genes are rows (contig_id, gene_id, start, end, strand, label, aa_length). A locus is one row an anchor gene with its
 neighbours as an ordered array, gathered by one window over the contig: no self-join, and each row's arrays hold
 at most twice ``each_side`` genes. What is said of a locus afterwards are expressions over those arrays.
+
+A contig may be any share of the rows: its windows run over chunks of it. A chunk also gets the genes near its edges,
+which any of its anchors can reach, so the result is that of a window over the whole contig.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 WINDOW_BP, EACH_SIDE, MAX_GAP, SPAN_MARGIN = 12_000, 6, 60, 500
 MATCH_SCORE, EXPLAIN_SCORE = 0.85, 0.6
 FAR_AWAY = 10**9
+#: A chunk is this many times as long as what is added at each of its edges.
+CHUNK_REACHES = 8
 GENE = ("gene_id", "start", "end", "strand", "label", "aa_length")
 
 
@@ -29,14 +34,18 @@ def loci(genes: DataFrame, is_anchor: Column, window_bp: int = WINDOW_BP, each_s
 
     A side ends before the first gene that lies further than window_bp from the anchor, or after each_side genes.
     """
-    w = Window.partitionBy("contig_id").orderBy("start", "gene_id")
+    longest = genes.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0  # one number
+    reach = window_bp + max(longest, 0) + 1
+    chunk = lambda at: F.floor(at / (CHUNK_REACHES * reach))
+    spread = genes.withColumn("is_anchor", is_anchor).withColumn("chunk", F.explode(F.sequence(chunk(F.col("start") - reach), chunk(F.col("start") + reach))))
+    w = Window.partitionBy("contig_id", "chunk").orderBy("start", "gene_id")
     gene = F.struct(*GENE)
-    near = genes.select(
+    near = spread.select(
         "contig_id",
         gene.alias("anchor"),
         F.reverse(F.collect_list(gene).over(w.rowsBetween(-each_side, -1))).alias("left"),
         F.collect_list(gene).over(w.rowsBetween(1, each_side)).alias("right"),
-        is_anchor.alias("is_anchor"),
+        (F.col("is_anchor") & (chunk(F.col("start")) == F.col("chunk"))).alias("is_anchor"),
     ).where("is_anchor")
     a = F.col("anchor")
     left = take_while(F.col("left"), F.transform("left", lambda g: a["start"] - g["end"] <= window_bp))
@@ -78,6 +87,29 @@ def with_operon(located: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     return located.withColumn("operon", F.concat(F.reverse(take_while(left, ok_left)), F.array("anchor"), take_while(right, ok_right)))
 
 
+def islands(genes: DataFrame, max_gap: int = MAX_GAP, chunk_bp: int = 1_000_000) -> DataFrame:
+    """genes with island, the number from 0 of its unbroken same-strand run on its contig (all operons at once).
+
+    Breaks are counted within chunks of a contig, then carried over the chunks: no task gets a whole contig's genes.
+    """
+    order = ["start", "gene_id"]
+    cut = genes.withColumn("chunk", F.floor(F.col("start") / chunk_bp))
+    inner = Window.partitionBy("contig_id", "chunk").orderBy(*order)
+    before = lambda c: F.lag(c).over(inner)
+    breaks = (before("strand") != F.col("strand")) | (F.col("start") - before("end") > max_gap)
+    marked = cut.withColumn("_break", F.coalesce(breaks.cast("int"), F.lit(0)))
+    edge = F.struct(*order, "end", "strand")
+    chunks = marked.groupBy("contig_id", "chunk").agg(F.min(edge).alias("head"), F.max(edge).alias("tail"), F.sum("_break").alias("inner_breaks"))
+    over = Window.partitionBy("contig_id").orderBy("chunk")
+    tail = F.lag("tail").over(over)
+    joint = F.coalesce(((tail["strand"] != F.col("head.strand")) | (F.col("head.start") - tail["end"] > max_gap)).cast("int"), F.lit(0))
+    chunks = chunks.withColumn("joint", joint)
+    carried = F.sum(F.col("inner_breaks") + F.col("joint")).over(over) - F.col("inner_breaks")
+    chunks = chunks.select("contig_id", "chunk", carried.alias("carried"))
+    running = F.sum("_break").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_run", running).join(chunks, ["contig_id", "chunk"]).withColumn("island", F.col("carried") + F.col("_run")).drop("_break", "_run", "carried", "chunk")
+
+
 def with_arrays(located: DataFrame, arrays: DataFrame) -> DataFrame:
     """Adds arrays: the repeat arrays (contig_id, start, end, copy_number, repeat_length, class) that overlap the locus' span, by start. A range join within contigs."""
     inside = located.select("contig_id", F.col("anchor.gene_id").alias("anchor_id"), "span_start", "span_end").join(arrays, "contig_id").where((F.col("start") < F.col("span_end")) & (F.col("span_start") < F.col("end")))
