@@ -98,8 +98,10 @@ def _matched(spark, sf_dir):
 
 @query(f"{_system_sql()} SELECT contig_id, anchor_id, system_id, round(score, 6) AS score, n_violations, score >= 0.85 AND n_violations = 0 AS is_match FROM m")
 def catalogue_match(spark, sf_dir):
-    rows = _matched(spark, sf_dir).select("contig_id", "anchor_id", F.explode("matches").alias("m"))
-    return rows.select("contig_id", "anchor_id", "m.system_id", rounded(F.col("m.score")).alias("score"), F.size("m.violations").alias("n_violations"), locus.is_match(F.col("m")).alias("is_match"))
+    found = [locus.match(s) for s in SYSTEMS]
+    # stack, not explode: a filter inferred from explode would be pushed below the operons and find them anew
+    rows = _loci(spark, sf_dir).select("contig_id", F.col("anchor.gene_id").alias("anchor_id"), F.stack(F.lit(len(found)), *[c for m in found for c in (m["system_id"], m["score"], F.size(m["violations"]))]).alias("system_id", "score", "n_violations"))
+    return rows.select("contig_id", "anchor_id", "system_id", rounded(F.col("score")).alias("score"), "n_violations", ((F.col("score") >= locus.MATCH_SCORE) & (F.col("n_violations") == 0)).alias("is_match"))
 
 
 @query(f"""{_system_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY contig_id, anchor_id ORDER BY score DESC, n_violations, ordinal) AS p, coalesce(max(CASE WHEN n_violations = 0 THEN score END) OVER (PARTITION BY contig_id, anchor_id), 0.0) AS clean FROM m)
