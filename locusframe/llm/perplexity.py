@@ -4,7 +4,7 @@ A modified Kneser-Ney model over text units (UTF-16, ORDER of them a gram, so th
 is counted by Spark over all documents of a language. Discounts, continuation counts and interpolated
 probabilities are DataFrame joins on the counts. The result is stored in sorted arrays of keys, and every whole text
 is scored against them. A document outside its language's band of perplexity is rejected; the band lies a multiple of the
-spread beyond the quartiles of all documents of the language.
+spread beyond the quartiles of all documents of the language, where equal texts count once.
 
 The arrays are broadcast only up to MODEL_BYTES; a larger model stays a table and is joined to the documents' grams.
 
@@ -32,9 +32,9 @@ PRUNED = 1
 #: Bytes of model arrays that may be broadcast; beyond, scoring joins.
 MODEL_BYTES = 256 << 20
 #: The band: quartiles of the language's log perplexity, widened by this many interquartile ranges.
-BELOW, ABOVE = 6.0, 6.0
-#: The band reaches at least so far below and above the median (log perplexity).
-LEAST_BELOW, LEAST_ABOVE = 0.5, 0.3
+BELOW, ABOVE = 3.5, 5.25
+#: Least interquartile range, for languages of few or nearly equal texts: ten steps, less than any language of many texts has.
+LEAST_SPREAD = 0.02
 #: Steps of a log perplexity of 1 that the quartiles are counted in.
 GRID = 500
 _MOST_COUNTED = 1_500_000
@@ -297,16 +297,17 @@ def scored(rows: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
 
 
 def with_verdict(features: DataFrame) -> DataFrame:
-    """features with log_ppl, base_failed and kept; the bands come from all documents that the base rules keep."""
+    """features with log_ppl, base_failed and kept; the bands come from all documents that the base rules keep, copies (of one log_ppl) counted once."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     own = common.cut(features.withColumn("base_failed", failed).withColumn("log_ppl", -F.col("log_p") / F.col("n_units")).withColumn("language", F.coalesce("lang", F.lit(""))), "features")
-    steps = own.where(~failed).groupBy("language", F.round(F.col("log_ppl") * GRID).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    once = own.where(~failed).select("language", F.round("log_ppl", 9).alias("log_ppl")).distinct()
+    steps = once.groupBy("language", F.round(F.col("log_ppl") * GRID).cast("long").alias("step")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("language").orderBy("step")
     share = steps.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("language")))
     at = lambda q: F.min(F.when(F.col("share") >= q, F.col("step"))) / GRID
-    bands = share.groupBy("language").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    wide = F.col("q3") - F.col("q1")
-    bands = bands.select("language", F.least(F.col("q1") - BELOW * wide, F.col("q2") - LEAST_BELOW).alias("lower"), F.greatest(F.col("q3") + ABOVE * wide, F.col("q2") + LEAST_ABOVE).alias("upper"))
+    bands = share.groupBy("language").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
+    bands = bands.select("language", (F.col("q1") - BELOW * wide).alias("lower"), (F.col("q3") + ABOVE * wide).alias("upper"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return own.join(bands, "language", "left").withColumn("kept", kept)
 
