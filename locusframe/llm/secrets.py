@@ -75,7 +75,7 @@ def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], s
     if not weak:
         return []
     taken = {s[:2] for s in base}
-    weak = [w for w in weak if w[:2] not in taken and not (w[2] == 5 and any(a <= w[0] and w[1] <= b for a, b in _near(taken, w)))]
+    weak = [w for w, inside in zip(weak, _contained(weak, taken), strict=True) if w[:2] not in taken and not (w[2] == 5 and inside)]
     everything = sorted(set(base) | set(weak))
     keep = []
     by_kind = {}
@@ -98,8 +98,14 @@ def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], s
     return sorted(set(keep), key=lambda s: (s[0], s[2]))
 
 
-def _near(taken: set[tuple[int, int]], w: tuple[int, int, int]) -> list[tuple[int, int]]:
-    return [t for t in taken if t[0] <= w[0] <= t[1]] if len(taken) <= 64 else []
+def _contained(spans: list[tuple[int, int, int]], taken: set[tuple[int, int]]) -> list[bool]:
+    """Whether each span lies in one of the taken: of those that start no later, one ends no earlier."""
+    if not taken:
+        return [False] * len(spans)
+    own = sorted(taken)
+    starts, furthest = np.array([t[0] for t in own]), np.maximum.accumulate(np.array([t[1] for t in own]))
+    upto = np.searchsorted(starts, np.array([s[0] for s in spans]), side="right")
+    return ((upto > 0) & (furthest[np.maximum(upto - 1, 0)] >= np.array([s[1] for s in spans]))).tolist()
 
 
 def find(text: str, scope: int = SCOPE) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
