@@ -32,7 +32,7 @@ SAMPLE = 3000
 #: Least chi-square of a feature's presence against the grades for it to get a weight: chance reaches it for under 1 in 100 of all DIMENSIONS features together.
 SCREEN = 35.0
 #: Least probability of the top grade of a kept document.
-LEAST_TAIL = 0.7
+LEAST_TAIL = 0.8
 STEPS, RATE, PENALTY, SHAPE_SCALE = 600, 0.1, 3e-5, 4.0
 
 #: Bytes of words: letters in lower case and digits; other ASCII parts them.
