@@ -29,8 +29,8 @@ SCOPE = 300
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_ACCOUNT = re.compile(r"""(?ai)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""")
-_ENDPOINT = re.compile(r"""(?ai)\b(?:(?:https?|postgres|postgresql|mysql|redis|amqp|mongodb|ftp|s3)://[A-Za-z0-9._:@/-]{4,512}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,256})""")
+_ACCOUNT = re.compile(r"""(?ai)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""")
+_ENDPOINT = re.compile(r"""(?ai)\b(?:(?:https?|postgres|postgresql|mysql|redis|amqp|mongodb|ftp|s3)://[A-Za-z0-9._:@/-]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,})""")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _HAS = {"assign": ("passw", "secret", "token", "api"), "account": ("user", "login", "client", "account", "access")}
 

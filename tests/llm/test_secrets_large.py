@@ -16,3 +16,10 @@ def test_containment_equals_all_pairs():
         taken = {(a := rng.randrange(3000), a + rng.randrange(1, 200)) for _ in range(n)}
         spans = [(a := rng.randrange(3000), a + rng.randrange(1, 60), 5) for _ in range(100)]
         assert secrets._contained(spans, taken) == [any(a <= s[0] and s[1] <= b for a, b in taken) for s in spans]
+
+
+def test_long_weak_values_are_whole():
+    for value, kind in (("postgres://db/" + "a/" * 400, "endpoint"), ("host: " + "h." * 300, "endpoint"), ("user: " + "u." * 200, "account")):
+        text = f"{value} password=hunter2hunter2"
+        start = 6 if kind == "account" else 0
+        assert (start, len(value), secrets.KINDS.index(kind)) in secrets.find(text)[1]
