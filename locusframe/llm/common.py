@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
@@ -18,10 +20,12 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; a local one only where none is set and all run in one JVM (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
     if (own := getattr(shared_dir, "own", None)) is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="locusframe-")
     return own
@@ -57,6 +61,24 @@ def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of exactly these names, dots and spaces included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def hinted(table: DataFrame, most: int) -> DataFrame:
+    """A written table, broadcast where it has no more than ``most`` rows; joins give the same rows either way."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -320,11 +320,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: that of the smallest doc_id, of equal ones the first row."""
-    rows = common.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").alias("text"), F.struct(*docs.columns).alias("doc")), "rows")
-    own = common.cut(Groups(rows, k, percent).components().join(rows.select("row", "doc.doc_id"), "row"), "components")
+    row = common.fresh(docs.columns, "row")
+    whole = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = whole.select(F.col(row).alias("row"), "text", "doc_id")
+    own = common.cut(Groups(rows, k, percent).components().join(rows.select("row", "doc_id"), "row"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    keep = own.where("label is not null").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")).union(own.where("label is null").select("row"))
-    return rows.join(keep, "row", "left_semi").select("doc.*")
+    keep = own.where("label is not null").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)).union(own.where("label is null").select("row"))
+    return whole.join(keep, row, "left_semi").select(*common.quoted(docs.columns))
 
 
 def op2_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

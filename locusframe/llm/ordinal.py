@@ -7,19 +7,20 @@ the smallest hashes; copies count once), for the features that depend on the gra
 
 Ratings: 0 for low quality, 1 for acceptable text that is toxic, 2 for good text.
 
-Defined cases: a null or empty text has no features and the score 0; ratings that are null or out of range are ignored, of
-several for a document the lowest counts; where fewer than two grades are rated, the estimates are null and all documents are
+Defined cases: a null or empty text has no features and the score 0; a very long text is scored whole, in a pass of its own;
+ratings that are null or out of range are ignored, of several for a document the lowest counts, of several texts of an id the
+smallest; where fewer than two grades are rated, the estimates are null and all documents are
 kept; repeated rows score alike; an empty table gives no rows; other columns are carried by ``keep_good``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -172,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model | Non
     for r in ratings.groupBy("grade").count().collect():  # a row a grade
         rated[r[0]] = r[1]
     chosen = common.cut(sample(ratings, size), "rated")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    known = found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # of a repeated id, the smallest text
     first = known.groupBy(F.xxhash64("text").alias("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")  # copies count once
     rows = known.join(F.broadcast(first), "doc_id", "left_semi").select("doc_id", "grade", "text").mapInArrow(_sparse, "doc_id long, grade int, numbers binary, values binary").collect()
     if not rows:
@@ -187,24 +189,29 @@ ESTIMATES = "expected_grade double, tail_probability double, quality_kept boolea
 
 
 def _estimate(model):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts = common.as_bytes(batch.column("text"))
+    @F.arrow_udf(f"struct<{ESTIMATES.replace(' ', ':').replace(',:', ',')}>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
             if model is None:
-                own = [pa.nulls(len(texts), pa.float64())] * 2 + [pa.array(np.ones(len(texts), dtype=bool))]
+                own = [pa.nulls(len(column), pa.float64())] * 2 + [pa.array(np.ones(len(column), dtype=bool))]
             else:
-                p = model.value.probabilities(model.value.scores(texts))
+                p = model.value.probabilities(model.value.scores(common.as_bytes(column)))
                 own = [pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1]), pa.array(p[:, -1] >= LEAST_TAIL)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *(x.split()[0] for x in ESTIMATES.split(", "))])
+            yield pa.StructArray.from_arrays(own, names=[x.split()[0] for x in ESTIMATES.split(", ")])
 
     return run
 
 
+def estimates(model: Model | None, spark: SparkSession) -> Callable[[str], Column]:
+    """A function of a column of texts that gives a struct of ESTIMATES. Only texts go to Python."""
+    return _estimate(spark.sparkContext.broadcast(model) if model else None)
+
+
 def estimated(rows: DataFrame, model: Model | None) -> DataFrame:
-    """rows (with a column text) and ESTIMATES."""
-    spread = rows.sparkSession.sparkContext.broadcast(model) if model else None
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_estimate(spread), f"{names}, {ESTIMATES}")
+    """rows (with a column text) and ESTIMATES, which replace columns of their names."""
+    name = common.fresh(rows.columns, "estimate")
+    own = [x.split()[0] for x in ESTIMATES.split(", ")]
+    return rows.withColumn(name, estimates(model, rows.sparkSession)("text")).withColumns({x: F.col(f"{name}.{x}") for x in own}).drop(name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,8 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their columns."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("doc"))
-    return estimated(rows, train(docs, labels)).where("quality_kept").select("doc.*")
+    return docs.where(estimates(train(docs, labels), docs.sparkSession)("text")["quality_kept"])
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ probabilities are DataFrame joins on the counts. The result is stored in sorted
 is scored against them. A document outside its language's band of perplexity is rejected; the band lies a multiple of the
 spread beyond the quartiles of all documents of the language, where equal texts count once.
 
-The arrays are broadcast only up to MODEL_BYTES; a larger model stays a table and is joined to the documents' grams.
+The arrays are broadcast only up to MODEL_BYTES; a larger model stays a table: its distinct grams are scored by joins and then
+joined to the documents' grams, of which the commonest, at most COMMON by definition, are broadcast. Values are double precision in both and
+perplexities rounded to PLACES, so that a model's size does not change a verdict.
 
-Defined cases: a null or empty text has no words and fails the base rules; a null language is the language ""; equal texts
-of a language score alike; repeated rows are judged separately; an empty table gives no rows; columns other than doc_id, text
-and lang are carried by ``keep_good`` and not read.
+Defined cases: a null or empty text has no words and fails the base rules; a very long text is scored whole; a null language is the
+language ""; equal texts of a language score alike; a perplexity on a band's end is inside; repeated rows are judged separately; an
+empty table gives no rows; columns other than doc_id, text and lang are carried by ``keep_good`` and not read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,16 @@ UNIT_BITS = 16
 START, END = 2, 3
 #: Grams of more than one unit that occur (below the highest order: follow) so often at most are pruned, so that a text's own rare grams do not speak for it.
 PRUNED = 1
-#: Bytes of model arrays that may be broadcast; beyond, scoring joins.
-MODEL_BYTES = 256 << 20
+#: Bytes of model arrays that may be broadcast; beyond, scoring joins. The driver, which sorts them, takes some ROW_BYTES a row of the model for a while.
+MODEL_BYTES = 64 << 20
+#: Bytes of a row of the model in the arrays (a key and a value), and on the driver (as Arrow, as a frame and in the arrays).
+ARRAY_BYTES, ROW_BYTES = 16, 160
+#: Grams that are more than one in COMMON of all: there are fewer than COMMON of them.
+COMMON = 10_000
+#: Languages whose one row each may be broadcast; with more, such tables are joined.
+MOST_LANGUAGES = 10_000
+#: Decimal places of log perplexities.
+PLACES = 9
 #: The band: quartiles of the language's log perplexity, widened by this many interquartile ranges.
 BELOW, ABOVE = 3.5, 5.25
 #: Least interquartile range, for languages of few or nearly equal texts: ten steps, less than any language of many texts has.
@@ -154,7 +164,8 @@ def model(counted: DataFrame) -> DataFrame:
         tables[size] = tables[size + 1].groupBy("lang", F.col("key").bitwiseAND(_low(size)).alias("key")).agg(F.count("*").alias("n"))
     lower, out = None, []
     for size in range(1, ORDER + 1):
-        table = tables[size].join(_discounts(tables[size]), "lang").withColumn("context", F.shiftrightunsigned("key", UNIT_BITS))
+        discounts = common.hinted(common.cut(_discounts(tables[size]), f"discounts_{size}"), MOST_LANGUAGES)
+        table = tables[size].join(discounts, "lang").withColumn("context", F.shiftrightunsigned("key", UNIT_BITS))
         # What is left to a gram after the discount; nothing where it is pruned, which then falls to the lower orders.
         own = F.when((F.col("n") <= PRUNED) & F.lit(size > 1), 0.0).otherwise(F.col("n") - _discount(F.col("n")))
         table = table.withColumn("left", own)
@@ -186,11 +197,11 @@ class Arrays:
         frame: pd.DataFrame = table.to_pandas()
         for name, own in frame.groupby(["lang", "size", "kind"]):
             order = np.argsort(own["key"].to_numpy(), kind="stable")
-            self.parts[name] = own["key"].to_numpy()[order], own["value"].to_numpy(dtype=np.float32)[order]
+            self.parts[name] = own["key"].to_numpy()[order], own["value"].to_numpy()[order]
 
     def _find(self, lang: str, size: int, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of keys (0 where there is none) and which there are."""
-        known, values = self.parts.get((lang, size, kind), (np.empty(0, np.int64), np.empty(0, np.float32)))
+        known, values = self.parts.get((lang, size, kind), (np.empty(0, np.int64), np.empty(0)))
         if not len(known):
             return np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -242,26 +253,34 @@ def base_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _features(arrays):
-    """arrays: a broadcast of Arrays, or None where the score is joined."""
+def _measured(arrays):
+    """A function of a text and its language: a struct of FEATURES. arrays: a broadcast of Arrays, or None where the score is joined."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                base = base_features(common.as_bytes(part.column("text")))
-                total, score = np.zeros(part.num_rows, dtype=np.int64), np.full(part.num_rows, np.nan)
-                for lang, numbers, texts in _by_language(part):
-                    keys, first = grams(texts)
-                    total[numbers] = np.diff(first)
-                    if arrays is not None:
-                        score[numbers] = np.add.reduceat(arrays.value.log_p(lang, keys), first[:-1])
-                columns = [*(pa.array(base[:, k]) for k in range(5)), pa.array(total), pa.array(score, from_pandas=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *_NAMES])
+    @F.arrow_udf(f"struct<{FEATURES.replace(', ', ',').replace(' ', ':')}>")
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, langs in columns:
+            whole = pa.RecordBatch.from_arrays([texts, langs], names=["text", "lang"])
+            out = [_measure(whole.slice(i, 1024), arrays and arrays.value) for i in range(0, len(texts), 1024)]
+            yield pa.concat_arrays(out) if out else pa.array([], _MEASURED)
 
     return run
 
 
+_MEASURED = pa.struct([(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in FEATURES.split(", ")])
+
+
+def _measure(part: pa.RecordBatch, arrays: Arrays | None) -> pa.StructArray:
+    base = base_features(common.as_bytes(part.column("text")))
+    total, score = np.zeros(part.num_rows, dtype=np.int64), np.full(part.num_rows, np.nan)
+    for lang, numbers, texts in _by_language(part):
+        keys, first = grams(texts)
+        total[numbers] = np.diff(first)
+        if arrays is not None:
+            score[numbers] = np.add.reduceat(arrays.log_p(lang, keys), first[:-1])
+    columns = [*(pa.array(base[:, k]) for k in range(5)), pa.array(total), pa.array(score, from_pandas=True)]
+    return pa.StructArray.from_arrays(columns, fields=list(_MEASURED))
+
+
 def _document_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         ids = batch.column("row").to_numpy()
@@ -272,35 +291,51 @@ def _document_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[number])), pa.array([lang] * len(own), pa.string()), pa.array(own), pa.array(n)], names=["row", "lang", "key", "n"])
 
 
-def joined_scores(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """row and log_p of documents (row, text, lang) by joins with a model of any size."""
-    found = rows.select("row", "text", "lang").mapInArrow(_document_grams, "row long, lang string, key long, n long")
-    total = F.lit(0.0)
+def gram_scores(counted: DataFrame, table: DataFrame) -> DataFrame:
+    """lang, key and log_p of each distinct gram, by joins with a model of any size."""
+    found, total = counted.select("lang", "key"), F.lit(0.0)
     for size in range(1, ORDER + 1):
         own = F.col("key").bitwiseAND(_low(size)) if size < ORDER else F.col("key")
         for kind, key in (("gram", own), ("rest", F.shiftrightunsigned(own, UNIT_BITS))):
             part = table.where((F.col("size") == size) & (F.col("kind") == kind)).select("lang", F.col("key").alias("k"), F.col("value").alias(f"{kind}_{size}"))
             found = found.withColumn("k", key).join(part, ["lang", "k"], "left").drop("k")
         total = F.coalesce(f"gram_{size}", F.coalesce(f"rest_{size}", F.lit(0.0)) + total)
-    return found.groupBy("row").agg(F.sum(F.col("n") * total).alias("log_p"))
+    return found.select("lang", "key", total.alias("gram_log_p"))
+
+
+def joined_scores(rows: DataFrame, counted: DataFrame, table: DataFrame) -> DataFrame:
+    """row and log_p of documents (row, text, lang). A gram that is in nearly every document meets them by a broadcast, not in one task."""
+    scores = common.cut(gram_scores(counted, table), "gram_scores")
+    all_grams = counted.agg(F.sum("n").alias("n")).first()[0] or 0
+    often = common.cut(counted.where(F.col("n") * COMMON > all_grams).select("lang", "key").join(scores, ["lang", "key"]).select("lang", "key", F.col("gram_log_p").alias("common_log_p")), "common")
+    grams_of = rows.mapInArrow(_document_grams, "row long, lang string, key long, n long").join(F.broadcast(often), ["lang", "key"], "left")
+    known = grams_of.where("common_log_p is not null").select("row", "n", F.col("common_log_p").alias("x"))
+    other = grams_of.where("common_log_p is null").join(scores, ["lang", "key"]).select("row", "n", F.col("gram_log_p").alias("x"))
+    return known.union(other).groupBy("row").agg(F.sum(F.col("n") * F.col("x")).alias("log_p"))
 
 
 def scored(rows: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
-    """rows (row, doc, text, lang) with FEATURES. The documents are read twice: to be counted and to be scored."""
-    spark = rows.sparkSession
-    table = model(common.cut(counts(rows), "gram_counts"))
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    if table.count() * 12 <= model_bytes:
+    """rows (text, lang and others) and FEATURES. The documents are read twice: to be counted and to be scored."""
+    spark, name = rows.sparkSession, common.fresh(rows.columns, "features")
+    counted = common.cut(counts(rows), "gram_counts")
+    table = model(counted)
+    if table.count() * ARRAY_BYTES <= model_bytes:
         arrays = spark.sparkContext.broadcast(Arrays(table.toArrow()))
-        return rows.mapInArrow(_features(arrays), f"{names}, {FEATURES}")
-    return rows.mapInArrow(_features(None), f"{names}, {FEATURES}").drop("log_p").join(joined_scores(rows, table), "row", "left")
+        own = rows.withColumn(name, _measured(arrays)("text", "lang"))
+        return own.withColumns({x: F.col(f"{name}.{x}") for x in _NAMES}).drop(name)
+    number = common.fresh(rows.columns, "number")
+    own = common.cut(rows.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    scores = joined_scores(own.select(F.col(number).alias("row"), "text", "lang"), counted, table).select(F.col("row").alias(number), "log_p")
+    own = own.withColumn(name, _measured(None)("text", "lang"))
+    return own.withColumns({x: F.col(f"{name}.{x}") for x in _NAMES[:-1]}).drop(name).join(scores, number, "left").drop(number)
 
 
 def with_verdict(features: DataFrame) -> DataFrame:
     """features with log_ppl, base_failed and kept; the bands come from all documents that the base rules keep, copies (of one log_ppl) counted once."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    own = common.cut(features.withColumn("base_failed", failed).withColumn("log_ppl", -F.col("log_p") / F.col("n_units")).withColumn("language", F.coalesce("lang", F.lit(""))), "features")
-    once = own.where(~failed).select("language", F.round("log_ppl", 9).alias("log_ppl")).distinct()
+    log_ppl = F.round(-F.col("log_p") / F.col("n_units"), PLACES)
+    own = common.cut(features.withColumn("base_failed", failed).withColumn("log_ppl", log_ppl).withColumn("language", F.coalesce("lang", F.lit(""))), "features")
+    once = own.where(~failed).select("language", "log_ppl").distinct()
     steps = once.groupBy("language", F.round(F.col("log_ppl") * GRID).cast("long").alias("step")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("language").orderBy("step")
     share = steps.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("language")))
@@ -309,19 +344,19 @@ def with_verdict(features: DataFrame) -> DataFrame:
     wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
     bands = bands.select("language", (F.col("q1") - BELOW * wide).alias("lower"), (F.col("q3") + ABOVE * wide).alias("upper"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return own.join(bands, "language", "left").withColumn("kept", kept)
+    return own.join(common.hinted(common.cut(bands, "bands"), MOST_LANGUAGES), "language", "left").withColumn("kept", kept)
 
 
-def rules(docs: DataFrame) -> DataFrame:
+def rules(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """doc_id, the base features, base_failed, kept, log_ppl and the language's band of each document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang")
-    return with_verdict(scored(rows)).select("doc_id", *_NAMES[:5], "base_failed", "kept", "log_ppl", "lower", "upper")
+    features = scored(docs.select("doc_id", "text", "lang"), model_bytes).drop("text")
+    return with_verdict(features).select("doc_id", *_NAMES[:5], "base_failed", "kept", "log_ppl", "lower", "upper")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "lang", F.struct(*docs.columns).alias("doc"))
-    return with_verdict(scored(rows)).where("kept").select("doc.*")
+def keep_good(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """The documents that the rules keep, with their columns. Other columns than text and lang never reach Python."""
+    rows = docs.select("text", "lang", F.struct(*common.quoted(docs.columns)).alias("doc"))
+    return with_verdict(scored(rows, model_bytes).drop("text")).where("kept").select("doc.*")
 
 
 def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
