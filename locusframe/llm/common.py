@@ -79,6 +79,21 @@ def hinted(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Tasks that a key is dealt to where it has a large share of the rows.
+SALTS = 64
+#: A key has a large share where it has more than one in OFTEN of the rows; there are fewer than OFTEN of them.
+OFTEN = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], often: Column, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of unique keys. A key for which ``often`` holds (few by its definition) is dealt to SALTS tasks by the column ``by``."""
+    hot = F.broadcast(table.where(often).select(*keys).withColumn("hot_", F.lit(True)))
+    salt = F.when(F.col("hot_"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = rows.join(hot, keys, "left").withColumn("salt_", salt).drop("hot_")
+    copies = F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("salt_", F.explode(copies)), [*keys, "salt_"], how).drop("salt_")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -5,14 +5,19 @@ A document is the set of its k-word shingles. Each set gets a SetSketch: exponen
 registers bring candidates together, the joint likelihood of two sketches drops what is far below the threshold,
 and what is left is verified on the full sets. Links join into components.
 
-No group is ever expanded into pairs. Equal sets are one node. Nodes of a bucket of SMALL at most are compared with
-each other; those of a larger one with its hub, the most central node, which joins nearly all. What is still apart
-in a large bucket is settled in blocks of two chunks of CHUNK nodes: a task compares a block's sets at once and returns
-only the links that join components. So every two nodes that share a bucket are compared or already joined, and a
-link at the threshold shares no bucket with a chance under 5e-8.
+No group is ever expanded into pairs. Equal sets are one node. Nodes of a bucket of SMALL at most are candidates with
+each other, those of a larger one with its hub, the most central node, which joins nearly all. Of the candidates, each node is first
+verified with one, that with the most candidates of its own; what this joins into components needs no other text, and only candidates
+that are still apart are verified after. What is still apart in a large bucket is settled in blocks of two chunks of CHUNK nodes, of sizes
+that the threshold allows: a task compares a block's sketches at once and returns the nodes that may be linked, and the texts of these
+alone are dealt to the blocks again, where their sets are compared and only links that join components returned. So every two nodes
+that share a bucket are compared or already joined, and a link at the threshold shares no bucket with a chance under 5e-8.
+
+Buckets, copies of one text and components that hold more than one in OFTEN of all rows are dealt to several tasks where rows look them up
+(``common.spread_join``); thin joins on pairs are left to Spark's splitting of skewed partitions.
 
 Defined cases: a null text, or one without words, is an empty set: linked with nothing, its own component, kept; a text of
-fewer than k words is one shingle; repeated rows are of one component; a null doc_id counts as larger than all others; an
+fewer than k words is one shingle; a very long text is one set, made in a pass of its own; repeated rows are of one component; a null doc_id counts as larger than all others; an
 empty table gives no rows; other columns are carried by ``deduplicate`` and not read here.
 """
 
@@ -22,7 +27,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ B, A, TOP = 1.001, 20.0, (1 << 16) - 2
 SLACK = 6
 #: Nodes of a bucket whose pairs are compared one by one, at most.
 SMALL = 12
+#: Rows whose ids may be broadcast to pick their texts; more are joined.
+MOST_WANTED = 1_000_000
 #: Nodes of a chunk, about. A block is two chunks, whatever a bucket's size.
 CHUNK = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -169,63 +175,118 @@ def _likely(threshold: float):
 def _verify(k: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def shingles(node: int, text: str) -> np.ndarray:
-            if node not in known:
-                known[node] = shingle_sets([text.encode()], k)[0]
-                if len(known) > 64:
+        for batch in rows:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                a, b, n_a, n_b = (part.column(c).to_pylist() for c in ("x", "y", "text_x", "text_y"))
+                texts = {d: t for d, t in (*zip(a, n_a, strict=True), *zip(b, n_b, strict=True)) if d not in known}
+                for d, own in zip(texts, shingle_sets([t.encode() for t in texts.values()], k), strict=True):
+                    known[d] = own
+                keep = []
+                for d, e in zip(a, b, strict=True):
+                    both = len(np.intersect1d(known[d], known[e], assume_unique=True))
+                    keep.append(100 * both >= percent * (len(known[d]) + len(known[e]) - both))
+                    known.move_to_end(e)
+                while len(known) > 64:
                     known.popitem(last=False)
-            known.move_to_end(node)
-            return known[node]
+                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        for batch in rows:
-            a, b, text_a, text_b = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            keep = []
-            for i in range(len(a)):
-                x, y = shingles(a[i], text_a[i]), shingles(b[i], text_b[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+BLOCK = ["bucket", "left_class", "left_chunk", "right_class", "right_chunk"]
+_BLOCK_TYPES = "bucket long, left_class int, left_chunk int, right_class int, right_chunk int"
+
+
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks of rows sorted by BLOCK, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in BLOCK], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if held and tuple(keys[i]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = tuple(keys[i])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sides and labels of a block's nodes. Nodes of a block of two chunks are compared over the sides only."""
+    side = block.column("side").to_numpy()
+    return side if side.min() != side.max() else np.arange(len(side)), block.column("label").to_numpy()
+
+
+def _maybe(threshold: float):
+    """Of a block, the nodes whose registers agree with those of a node of another label as often as the threshold lets expect, less SLACK standard errors."""
+    least = REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(rows):
+            side, label = _apart(block)
+            registers = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            found = np.zeros(len(side), dtype=bool)
+            for i in range(len(side)):
+                other = (side != side[i]) & (label != label[i])
+                if not found[i] or not found[other].all():
+                    near = other & ((registers == registers[i]).sum(axis=1) >= least)
+                    found |= near
+                    found[i] |= near.any()
+            if found.any():
+                yield from block.select([*BLOCK, "side", "node", "label"]).filter(pa.array(found)).to_batches()
 
     return run
 
 
 def _spanning(k: int, percent: int):
-    """A block of a bucket: all pairs of nodes of its one or two chunks by a product of incidence matrices. Returns links that join labels, no more than it takes."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("node", kind="stable").drop_duplicates("node")
-        sets = shingle_sets([t.encode() for t in block["text"]], k)
-        sizes, chunk, (_, label) = np.array([len(s) for s in sets]), block["chunk"].to_numpy(), np.unique(block["label"].to_numpy(), return_inverse=True)
-        tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        column = np.cumsum(times > 1) - 1
-        shared = times[at] > 1
-        owner, column = owner[shared], column[at[shared]]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = (column >= low) & (column < low + 4096)
-            there = np.zeros((len(sets), 4096), dtype=np.float32)
-            there[owner[part], column[part] - low] = 1
-            both += there @ there.T
-        linked = (100 + percent) * both >= percent * (sizes[:, None] + sizes[None, :])
-        if chunk.min() != chunk.max():
-            linked &= chunk[:, None] != chunk[None, :]
-        out, node = [], block["node"].to_numpy()
-        linked &= label[:, None] != label[None, :]
-        for i in range(len(sets)):
-            for j in np.flatnonzero(linked[i]):
-                if label[i] != label[j]:
-                    out.append((node[i], node[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    """All pairs of nodes of a block by a product of incidence matrices. Returns links that join labels, no more than it takes."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(rows):
+            sides, labels = _apart(block)
+            sets = shingle_sets(common.as_bytes(block.column("text").combine_chunks()), k)
+            out = _links(block.column("node").to_numpy(), sides, labels, sets, percent)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _links(node: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    sizes, (_, label) = np.array([len(s) for s in sets]), np.unique(label, return_inverse=True)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    column = np.cumsum(times > 1) - 1
+    shared = times[at] > 1
+    owner, column = owner[shared], column[at[shared]]
+    both = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        there = np.zeros((len(sets), 4096), dtype=np.float32)
+        there[owner[part], column[part] - low] = 1
+        both += (there @ there.T).astype(np.int64)  # 4096 at most, exact
+    linked = (100 + percent) * both >= percent * (sizes[:, None] + sizes[None, :])
+    linked &= (side[:, None] != side[None, :]) & (label[:, None] != label[None, :])
+    out = []
+    for i in range(len(sets)):
+        for j in np.flatnonzero(linked[i]):
+            if label[i] != label[j]:
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after joining the labels that edges (a, b: nodes) link. Each label hooks to its smallest neighbour, chains are shortened by doubling, until no edge is left."""
-    spark = labels.sparkSession
+    spark, total = labels.sparkSession, labels.count()
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     between = edges.join(of("a"), "a").join(of("b"), "b").select(F.greatest("label_a", "label_b").alias("hi"), F.least("label_a", "label_b").alias("lo")).where("hi <> lo").distinct()
     between, path = common.cut_at(between, "edges")
@@ -240,7 +301,9 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
             if not moved:
                 break
         to = lambda c: hook.select(F.col("hi").alias(c), F.col("lo").alias(f"{c}_to"))
-        labels, _ = common.cut_at(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
+        sizes = labels.groupBy("label").agg(F.count("*").alias("times"))
+        moved = sizes.join(to("label"), "label")  # a row a label that moves; its nodes may be any share of all
+        labels, _ = common.cut_at(common.spread_join(labels, moved, ["label"], F.col("times") * common.OFTEN > total, "node", "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
         ends = between.join(to("hi"), "hi", "left").join(to("lo"), "lo", "left").select(F.coalesce("hi_to", "hi").alias("x"), F.coalesce("lo_to", "lo").alias("y"))
         between, new = common.cut_at(ends.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).where("hi <> lo").distinct(), "edges")
         common.drop_table(spark, path)
@@ -253,56 +316,107 @@ class Groups:
 
     def __init__(self, rows: DataFrame, k: int, percent: int):
         self.spark, self.rows, self.k, self.percent = rows.sparkSession, rows, k, percent
-        marked = common.cut(rows.select("row", "text").mapInArrow(_sketch(k), "row long, n long, s1 long, s2 long, sketch binary"), "sketches")
-        nodes = marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("node"))
-        own = common.cut(marked.drop("sketch").join(nodes, ["s1", "s2", "n"], "left").select("row", "node", "n"), "members")
+        marked, path = common.cut_at(rows.select("row", "text").mapInArrow(_sketch(k), "row long, n long, s1 long, s2 long, sketch binary"), "sketches")
+        equal = marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("node"), F.count("*").alias("times")).where("times > 1")
+        equal, equal_path = common.cut_at(equal, "equal")
+        many = F.col("times") * common.OFTEN > marked.count()
+        known = common.spread_join(marked.drop("sketch"), equal, ["s1", "s2", "n"], many, "row", "left")
+        self.members = common.cut(known.select("row", F.when(F.col("n") > 0, F.coalesce("node", "row")).alias("node"), "n"), "members")
+        common.drop_table(self.spark, equal_path)
+        self.total = self.members.count()
         #: node, n, sketch: a row a distinct set
-        self.nodes = common.cut(marked.select("row", "n", "sketch").join(own.where("row = node").select("row"), "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch"), "nodes")
-        self.members = own
+        first = self.members.where("row = node").select("row")
+        self.nodes = common.cut(marked.select("row", "n", "sketch").join(first, "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch"), "nodes")
+        common.drop_table(self.spark, path)
         self.labels = self._linked()
 
     def _linked(self) -> DataFrame:
         """labels (node, label) of all nodes that share a bucket with another."""
         bands = self.nodes.mapInArrow(_bands, "bucket long, node long")
-        shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        buckets = common.cut(bands.join(shared, "bucket"), "buckets")
+        shared, shared_path = common.cut_at(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        many = F.col("size") * common.OFTEN > self.total
+        buckets = common.cut(common.spread_join(bands, shared, ["bucket"], many, "node"), "buckets")
+        common.drop_table(self.spark, shared_path)
         labels = common.cut(buckets.select("node").distinct().withColumn("label", F.col("node")), "labels")
         small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
         pairs = small.select("bucket", F.col("node").alias("a")).join(small.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
         central = large.groupBy("node").agg(F.sum("size").alias("score"))
-        hubs = large.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
-        spokes = large.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        links = self._verified(pairs.union(spokes).distinct())
-        if links is not None:
-            labels = contracted(labels, links)
-        links = self._settled(large, labels)
-        return labels if links is None else contracted(labels, links)
-
-    def _settled(self, large: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Links between what is still apart in large buckets. A bucket is dealt to blocks of two chunks, which a task compares without emitting a pair."""
+        hubs = large.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("hub"), F.first("size").alias("members"))
+        hubs, hubs_path = common.cut_at(hubs, "hubs")
+        often = F.col("members") * common.OFTEN > self.total
+        spokes = common.spread_join(large, hubs, ["bucket"], often, "node").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        labels = self._verified(pairs.union(spokes).distinct(), labels)
+        common.drop_table(self.spark, hubs_path)
+        return self._settled(large, labels)
+
+    def _verified(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """labels after the links among candidate pairs (a, b)."""
+        of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        likely, path = common.cut_at(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(self.percent / 100), "a long, b long"), "likely")
+        ends = likely.select(F.col("a").alias("x"), F.col("b").alias("y")).union(likely.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        degree = ends.groupBy("y").agg(F.count("*").alias("degree"))
+        best = ends.join(degree, "y").groupBy("x").agg(F.max_by("y", F.struct("degree", -F.col("y"))).alias("y"))
+        labels = self._joined(best.where("x <> y"), labels)
+        label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        apart = likely.join(label("a"), "a").join(label("b"), "b").where("label_a <> label_b")
+        labels = self._joined(apart.select(F.col("a").alias("x"), F.col("b").alias("y")), labels)
+        common.drop_table(self.spark, path)
+        return labels
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """row and text of the wanted rows (a written table)."""
+        return self.rows.select("row", "text").join(common.hinted(wanted, MOST_WANTED), "row", "left_semi")
+
+    def _joined(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """labels after the links among pairs (x, y) that their full sets confirm."""
+        pairs, path = common.cut_at(pairs, "pairs")
+        wanted, wanted_path = common.cut_at(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "wanted")
+        text = lambda c: self._texts(wanted).select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+        joined = pairs.join(text("x"), "x").join(text("y"), "y").select("x", "y", "text_x", "text_y")
+        links, links_path = common.cut_at(joined.mapInArrow(_verify(self.k, self.percent), "a long, b long"), "links")
+        out = labels if links.isEmpty() else contracted(labels, links)
+        for p in (path, wanted_path, links_path):
+            common.drop_table(self.spark, p)
+        return out
+
+    def _settled(self, large: DataFrame, labels: DataFrame) -> DataFrame:
+        """labels after the links between what is still apart in large buckets."""
         opened = large.join(labels, "node")
-        differ = opened.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        opened = opened.join(differ, "bucket", "left_semi").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        opened = common.cut(opened, "open_buckets")
+        differ = opened.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select("bucket")
+        size_class = F.when(F.col("size") > CHUNK, F.floor(F.log("n") / float(-np.log(self.percent / 100 - 1e-6)))).otherwise(0).cast("int")  # linked sets are of one class or of two that follow each other
+        opened = opened.join(differ, "bucket", "left_semi").join(self.nodes.select("node", "n"), "node").select("bucket", "node", "label", size_class.alias("class"))
+        opened, opened_path = common.cut_at(opened, "open_buckets")
         if opened.isEmpty():
-            return None
-        texts = self.rows.select(F.col("row").alias("node"), "text").join(opened.select("node").distinct(), "node", "left_semi")
-        blocks = opened.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        dealt = blocks.groupBy("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        links = common.cut(dealt.applyInPandas(_spanning(self.k, self.percent), "a long, b long").distinct(), "links")
-        return None if links.isEmpty() else links
-
-    def _verified(self, pairs: DataFrame) -> DataFrame | None:
-        of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-        likely = common.cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(self.percent / 100), "a long, b long"), "likely")
-        if likely.isEmpty():
-            return None
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        texts = self.rows.select("row", "text").join(wanted, "row", "left_semi")
-        text = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-        joined = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-        links = common.cut(joined.mapInArrow(_verify(self.k, self.percent), "a long, b long"), "links")
-        return None if links.isEmpty() else links
+            return labels
+        sizes = opened.groupBy("bucket", "class").agg(F.count("*").alias("times"))
+        of = sizes.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("times") / CHUNK).cast("int")))).alias("chunks"), F.sum("times").alias("members"))
+        of, of_path = common.cut_at(of, "chunks")  # classes follow the logarithm of a set's size: a row a bucket is short
+        many = F.col("members") * common.OFTEN > self.total
+        placed = common.spread_join(opened, of, ["bucket"], many, "node")
+        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")[F.col("class")]).cast("int"))
+        own, chunk, chunks = F.col("class"), F.col("chunk"), F.col("chunks")
+        other = lambda c, made: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at(chunks, c), F.lit(0))), lambda j: F.when(j < F.coalesce(F.try_element_at(chunks, c), F.lit(0)), made(j)))
+        block = lambda a, i, b, j, side: F.struct(a.alias("left_class"), i.alias("left_chunk"), b.alias("right_class"), j.alias("right_chunk"), side.alias("side"))
+        within = other(own, lambda j: block(own, F.least(chunk, j), own, F.greatest(chunk, j), F.when(chunk <= j, 0).otherwise(1)))
+        above = other(own + 1, lambda j: block(own, chunk, own + 1, j, F.lit(0)))
+        below = other(own - 1, lambda j: block(own - 1, j, own, chunk, F.lit(1)))
+        dealt = placed.withColumn("block", F.explode(F.concat(within, above, below))).where("block is not null").select("bucket", "node", "label", "block.*")
+        dealt = dealt.join(self.nodes.select("node", "sketch"), "node")
+        types = f"{_BLOCK_TYPES}, side int, node long, label long"
+        maybe = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node").select(*BLOCK, "side", "node", "label", "sketch").mapInArrow(_maybe(self.percent / 100), types)
+        maybe, maybe_path = common.cut_at(maybe, "maybe")
+        if not maybe.isEmpty():
+            wanted, wanted_path = common.cut_at(maybe.select(F.col("node").alias("row")).distinct(), "wanted")
+            texts = self._texts(wanted).withColumnRenamed("row", "node")
+            again = maybe.join(texts, "node").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node").select(*BLOCK, "side", "node", "label", "text")
+            links, links_path = common.cut_at(again.mapInArrow(_spanning(self.k, self.percent), "a long, b long").distinct(), "links")
+            if not links.isEmpty():
+                labels = contracted(labels, links)
+            common.drop_table(self.spark, wanted_path)
+            common.drop_table(self.spark, links_path)
+        for p in (opened_path, of_path, maybe_path):
+            common.drop_table(self.spark, p)
+        return labels
 
     def components(self) -> DataFrame:
         """row, n, label: equal labels are one component (null: an empty set)."""
@@ -313,8 +427,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id and kept for each document."""
     rows = common.cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
     own = common.cut(Groups(rows, k, percent).components().join(rows.select("row", "doc_id"), "row"), "components")
-    first = own.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
-    out = own.join(first, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    first = own.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
+    out = common.spread_join(own, first, ["label"], F.col("times") * common.OFTEN > own.count(), "row", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
