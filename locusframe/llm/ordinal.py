@@ -195,7 +195,8 @@ def _estimate(model):
             if model is None:
                 own = [pa.nulls(len(column), pa.float64())] * 2 + [pa.array(np.ones(len(column), dtype=bool))]
             else:
-                p = model.value.probabilities(model.value.scores(common.as_bytes(column)))
+                scores = [model.value.scores(common.as_bytes(column.slice(i, 1024))) for i in range(0, len(column), 1024)]
+                p = model.value.probabilities(np.concatenate(scores) if scores else np.empty(0))
                 own = [pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1]), pa.array(p[:, -1] >= LEAST_TAIL)]
             yield pa.StructArray.from_arrays(own, names=[x.split()[0] for x in ESTIMATES.split(", ")])
 

@@ -7,13 +7,16 @@ sequences is the least that holds the window, so a remainder that fits nowhere w
 ones. A window is a bounded run of an input partition: nothing is shuffled and a lost task repeats its own
 partition only.
 
-Defined cases: a null or empty text is the end id alone; a document's ids never leave their order; equal rows
+Defined cases: a null or empty text is the end id alone; a very long text is encoded whole and cut into full sequences; of equal
+lengths the earlier row is placed first; a document's ids never leave their order; equal rows
 are packed separately; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 CAPACITY = 2048
 #: Tokens of remainders that a task gathers before it packs them; bounds its memory and, at one partly filled sequence a window, the padding.
 WINDOW_TOKENS = 1_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections and attention of a layer, up to a factor).
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END_ID = 1
-_CHUNK = re.compile(rb"[^\x20\x09-\x0D]+")
-_MOST_CACHED = 400_000
+#: Runs of text of which an encoder keeps the ids in a generation, about (some 60 bytes each).
+MOST_KEPT = 1_000_000
 
 
 def cost(n: int) -> float:
@@ -80,47 +85,135 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return out
 
 
+#: Fixed value: a pre-tokenizer's pattern whose matches hold no white space.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_at_white_space(rules: dict) -> bool:
+    """Whether a tokenizers file's normaliser and pre-tokenizer are ones known never to join text across white space, nor to make tokens of it."""
+
+    def steps(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else [z for y in x[inner] for z in steps(y, inner)] if x["type"] == "Sequence" else [x]
+
+    for x in steps(rules.get("normalizer"), "normalizers"):
+        if x["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") and (x["type"], x.get("pattern"), x.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    first = next(iter(steps(rules.get("pre_tokenizer"), "pretokenizers")), {"type": None})
+    split = (first["type"], first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": SPLIT_PATTERN}, "Removed", True)
+    plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in rules.get("added_tokens", []))
+    return plain and (split or first["type"] in ("Whitespace", "WhitespaceSplit"))
+
+
+class Known:
+    """Words by two 64-bit keys in an open-addressing table, and their ids in one array. All steps take whole arrays of words."""
+
+    def __init__(self, slots: int):
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.checks, self.codes = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.first, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.words = self.used = 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for unknown ones."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        slot, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            there = self.keys[slot]
+            same = (there == keys[todo]) & (self.checks[slot] == checks[todo])
+            out[todo[same]] = self.codes[slot[same]]
+            on = ~same & (there != 0)
+            todo, slot = todo[on], (slot[on] + 1) & np.int64(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words that are not known yet, each once; ids: one word's after the other's."""
+        n, codes = len(keys), np.arange(self.words, self.words + len(keys), dtype=np.int32)
+        for name, most, fill in (("first", self.words + n, 0), ("sizes", self.words + n, 0), ("ids", self.used + len(ids), 0)):
+            own = getattr(self, name)
+            if most > len(own):
+                setattr(self, name, np.concatenate([own, np.full(max(most, 2 * len(own)) - len(own), fill, own.dtype)]))
+        self.first[self.words : self.words + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.words : self.words + n] = sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.words, self.used = self.words + n, self.used + len(ids)
+        if 2 * self.words > len(self.keys):  # half full at most
+            old = self.keys != 0
+            keys, checks, codes = np.concatenate([self.keys[old], keys]), np.concatenate([self.checks[old], checks]), np.concatenate([self.codes[old], codes])
+            slots = 1 << int(4 * self.words - 1).bit_length()
+            self.mask = np.uint64(slots - 1)
+            self.keys, self.checks, self.codes = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        slot, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]], self.codes[slot[free]] = keys[todo[free]], codes[todo[free]]
+            placed = free & (self.codes[slot] == codes[todo]) & (self.keys[slot] == keys[todo])  # of several for one slot, the last has it
+            self.checks[slot[placed]] = checks[todo[placed]]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & np.int64(self.mask)
+
+    def spread(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        sizes = self.sizes[codes].astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[codes] - (ends - sizes), sizes)
+        return self.ids[at], sizes
+
+
+def second_keys(words: common.Words) -> np.ndarray:
+    """A key of a word's length, first and last eight bytes, so that two words are taken for one only where these and the 64-bit hash agree."""
+    padded = bytes(8) + words.buffer + bytes(8)
+    at = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place
+    size = words.ends - words.starts
+    low = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+    head, tail = at[words.starts + 8] & low, np.where(size > 8, at[words.ends], np.uint64(0))
+    return common.mix64(head + np.uint64(0x9E3779B97F4A7C15) * size.astype(np.uint64)) + tail * np.uint64(0xD1342543DE82EF95)
+
+
 class Encoder:
     """Token ids of texts by a tokenizers file, as arrays.
 
-    The file's normaliser and pre-tokenizer never join text across ASCII white space, so each run between such
-    white space is encoded once and kept; encode() is then a lookup a run. ``whole`` encodes without the split.
+    Where the file's rules part at white space, each run between ASCII white space is encoded once and kept; encode() is then a
+    lookup of all runs of some texts at once. Two generations of runs are kept, MOST_KEPT runs and 8 * MOST_KEPT ids each at most before the
+    older goes; a run that is met again moves to the younger. ``whole`` encodes without the split, as encode() does by any other file.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_KEPT):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.parts, self.most = parts_at_white_space(json.loads(self.tokenizer.to_str())), most
+        self.young, self.old = Known(1 << 16), Known(1 << 4)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.ids) > _MOST_CACHED:
-            self.known, self.ids = {}, []
-        known = self.known
-        runs = [t.split() for t in texts]  # bytes.split() splits at ASCII white space alone
-        fresh = list({w for r in runs for w in r if w not in known})
-        if fresh:
-            for w, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, dtype=np.uint32))
-        codes = np.fromiter((known[w] for r in runs for w in r), dtype=np.int64, count=sum(map(len, runs)))
-        used, codes = np.unique(codes, return_inverse=True)
-        tables = [self.ids[c] for c in used]
-        sizes = np.array([len(t) for t in tables], dtype=np.int64)
-        flat = np.concatenate(tables) if tables else np.empty(0, np.uint32)
-        first = np.cumsum(sizes) - sizes
-        lengths = sizes[codes] if len(codes) else np.empty(0, np.int64)
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - (ends - lengths), lengths)
-        ids = flat[at]
-        words = np.cumsum([0, *map(len, runs)])
-        cuts = np.concatenate([[0], ends])[words]
+        if not self.parts:
+            return [self.whole(t.decode()) for t in texts]
+        if self.young.words > self.most or self.young.used > 8 * self.most:
+            self.young, self.old = Known(1 << 16), self.young
+        words = common.Words(texts)
+        keys, checks = np.maximum(words.hashes, np.uint64(1)), second_keys(words)
+        codes = self.young.find(keys, checks)
+        while (missing := np.flatnonzero(codes < 0)).size:  # again only where two new words have one hash
+            _, once = np.unique(keys[missing], return_index=True)
+            self._learn(words, missing[once], keys, checks)
+            codes[missing] = self.young.find(keys[missing], checks[missing])
+        ids, sizes = self.young.spread(codes)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[words.offsets]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _learn(self, words: common.Words, at: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        before = self.old.find(keys[at], checks[at])
+        kept, new = at[before >= 0], at[before < 0]
+        ids, sizes = self.old.spread(before[before >= 0])
+        runs = [words.buffer[a:b].decode() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)]
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        count = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        flat = np.fromiter((i for e in own for i in e), dtype=np.uint32, count=int(count.sum()))
+        both = np.concatenate([kept, new])
+        self.young.add(keys[both], checks[both], np.concatenate([sizes, count]), np.concatenate([ids, flat]))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -137,8 +230,6 @@ DIGESTS = pa.schema([*(PIECES.field(i) for i in range(6)), ("ids_crc32", pa.int6
 
 def _packer(path: str, capacity: int, end_id: int, digests: bool):
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from . import common
-
         enc = encoder(path)
         first = TaskContext.get().partitionId() << 36  # a task numbers its own sequences from here
         done = 0
@@ -166,9 +257,9 @@ def _packer(path: str, capacity: int, end_id: int, digests: bool):
             waiting.clear()
             held = 0
 
-        for b in rows:
+        for b in (whole.slice(i, 1024) for whole in rows for i in range(0, whole.num_rows, 1024)):
             docs, texts = b.column("doc_id").to_pylist(), common.as_bytes(b.column("text"))
-            for i, j in common.batches(texts, 4 << 20):
+            for i, j in common.batches(texts):
                 for doc, ids in zip(docs[i:j], enc.encode(texts[i:j]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     full = len(ids) // capacity * capacity
