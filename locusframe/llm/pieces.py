@@ -12,7 +12,6 @@ empty table gives no rows; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _MOST_CACHED = 300_000
-_NOT_SPACE = re.compile("[^ ▁]")
 
 
 class CharacterMap:

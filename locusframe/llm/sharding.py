@@ -4,7 +4,8 @@ Every record falls into one of thousands of virtual slots by a hash. Bytes are s
 small versioned map sends slots to shards so that the shards' bytes are nearly equal. Adding a shard
 edits the map: slots move into the new shard only, nothing moves between the old ones.
 
-Defined cases: a null text has no bytes (size is the overhead alone); an empty table gives no rows; equal
+Defined cases: a null text has no bytes (size is the overhead alone); a very long text is one record of its size, and the
+largest texts are placed first; an empty table gives no rows; equal
 rows are separate records; a slot that equal rows make heavy is split into sub-slots, so that no slot
 bounds the balance; other columns than doc_id and text are not read.
 """
@@ -107,11 +108,14 @@ def store_map(spark: SparkSession, slot_map: list[tuple], path: str) -> DataFram
 
 
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, sub_slot, shard and slot, the row's place in its shard from 0."""
+    """doc_id, size, text_crc32, virtual_slot, sub_slot, shard and slot, the row's place in its shard from 0, of the map's first version; next_shard, of its second, edited for one shard more."""
     spark = docs.sparkSession
     units = common.cut(with_units(common.cut(records(docs, slots), "records"), slots), "units")
+    path = common.new_table(spark, "slot_map")
     slot_map = build_map(units, shards)
-    stored = store_map(spark, slot_map, common.new_table(spark, "slot_map")).select("virtual_slot", "sub_slot", "shard", "first")
+    stored = store_map(spark, slot_map, path).select("virtual_slot", "sub_slot", "shard", "first")
+    grown = store_map(spark, grow(slot_map, shards), path).select("virtual_slot", "sub_slot", F.col("shard").alias("next_shard"))
+    stored = stored.join(F.broadcast(grown), ["virtual_slot", "sub_slot"])
     within = Window.partitionBy("virtual_slot", "sub_slot").orderBy("doc_id", "text_crc32", "size")
     placed = units.withColumn("at", F.row_number().over(within) - 1)
     return placed.join(F.broadcast(stored), ["virtual_slot", "sub_slot"]).withColumn("slot", (F.col("first") + F.col("at")).cast("long")).drop("first", "at")
@@ -119,4 +123,4 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
 
 def op4_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "sub_slot")
+    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "sub_slot", "next_shard")

@@ -8,7 +8,7 @@ A payload that an earlier capture has is stored as a revisit of it.
 An archive is a row of a table (its name and its bytes), because executors share only what Spark writes; ``export``
 writes them as files where a local folder is wanted.
 
-Defined cases: null or empty html is an empty payload, which counts as any other; a null url has the key ""; equal pages
+Defined cases: null or empty html is an empty payload, which counts as any other; a very long page is a record of its own size; a null url has the key ""; equal pages
 are equal records, the smallest page_id responds; a null page_id comes first and never responds for others; an empty
 table gives no rows; columns other than page_id, url and html are not read.
 """
@@ -35,6 +35,8 @@ from . import common
 ARCHIVE_BYTES = 16 << 20
 #: Smallest payload that is stored once only.
 REVISIT_FROM = 0
+#: Digests that several pages have, at most, for them to be broadcast.
+MOST_SHARED = 500_000
 #: Captures of a key range, about: bounds what a merging task holds.
 RANGE_ROWS = 20_000
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -66,9 +68,9 @@ def date_of(page_id: int | None) -> str:
     return (_EPOCH + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or without its payload a revisit one. The HTTP header tells the full payload's length in both."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int | None = None) -> bytes:
+    """A response record, or without its payload a revisit one. The HTTP header tells the full payload's size in both."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
@@ -115,9 +117,9 @@ def _archives(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"archive": [f"part-{part:06d}-{serial:05d}.warc.gz"], "n_records": pa.array([count], pa.int64()), "data": pa.array([b"".join(held)], pa.binary())})
 
     for batch in rows:
-        cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
-        for page_id, url, digest, refers_to, payload in zip(*cols, common.as_bytes(batch.column("html")), strict=True):
-            data = record(page_id, url, payload, digest, refers_to)
+        cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "digest", "refers_to")]
+        for page_id, url, n, digest, refers_to, payload in zip(*cols, common.as_bytes(batch.column("html")), strict=True):
+            data = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, n)
             held.append(gzip.compress(data, 6, mtime=0))
             size, count = size + len(data), count + 1
             if size >= ARCHIVE_BYTES:
@@ -128,20 +130,24 @@ def _archives(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        payloads = common.as_bytes(batch.column("html"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(sha1_base32, payloads), pa.string()), pa.array(map(len, payloads), pa.int64())], names=[*batch.schema.names, "digest", "payload_bytes"])
-
-
 def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """The table of archives at path: archive, n_records, data. The first pages of equal payloads are found by their digests before anything is written."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    marked = own.mapInArrow(_digests, "page_id long, url string, html string, digest string, payload_bytes long")
-    firsts = marked.select("page_id", "digest", "payload_bytes").groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where(F.col("times") > 1)
-    joined = marked.join(firsts.where(F.col("payload_bytes") >= revisit_from).drop("times"), ["digest", "payload_bytes"], "left")
+    """The table of archives at path: archive, n_records, data. The first pages of equal payloads are found by their digests before anything is written.
+
+    The pages are read twice, for digests and for records, so that html is shuffled only where the digests that several pages have are more
+    than MOST_SHARED; then a digest of many pages is dealt to several tasks.
+    """
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("payload_bytes"))
+    firsts = own.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where(F.col("times") > 1)
+    firsts = common.cut(firsts.where(F.col("payload_bytes") >= revisit_from), "shared_payloads")
+    if firsts.limit(MOST_SHARED + 1).count() <= MOST_SHARED:
+        joined = own.join(F.broadcast(firsts), ["digest", "payload_bytes"], "left")
+    else:
+        total = firsts.agg(F.sum("times")).first()[0]
+        joined = common.spread_join(own, firsts, ["digest", "payload_bytes"], F.col("times") * common.OFTEN > total, "page_id", "left")
     revisits = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    joined.withColumn("refers_to", revisits).select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_archives, "archive string, n_records long, data binary").write.option("compression", "none").parquet(path)
+    joined = joined.withColumn("refers_to", revisits).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))  # a revisit's payload is not sent on
+    joined.select("page_id", "url", "html", "payload_bytes", "digest", "refers_to").mapInArrow(_archives, "archive string, n_records long, data binary").write.option("compression", "none").parquet(path)
     return pages.sparkSession.read.schema("archive string, n_records long, data binary").parquet(path)
 
 
