@@ -43,7 +43,7 @@ SMALL = 12
 #: Rows whose ids may be broadcast to pick their texts; more are joined.
 MOST_WANTED = 1_000_000
 #: Nodes of a chunk, about. A block is two chunks, whatever a bucket's size.
-CHUNK = 512
+CHUNK = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOG_B = np.log(B)
 
@@ -217,27 +217,31 @@ def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _apart(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sides and labels of a block's nodes. Nodes of a block of two chunks are compared over the sides only."""
-    side = block.column("side").to_numpy()
-    return side if side.min() != side.max() else np.arange(len(side)), block.column("label").to_numpy()
+def _apart(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sides and labels of a block's nodes, and the places of those that are not of its commonest label: every pair to compare has one of them. Nodes of a block of two chunks are compared over the sides only."""
+    side, label = block.column("side").to_numpy(), block.column("label").to_numpy()
+    kinds, at, n = np.unique(label, return_inverse=True, return_counts=True)
+    return side if side.min() != side.max() else np.arange(len(side)), at, np.flatnonzero(at != n.argmax())
 
 
 def _maybe(threshold: float):
-    """Of a block, the nodes whose registers agree with those of a node of another label as often as the threshold lets expect, less SLACK standard errors."""
+    """Of a block, the nodes whose registers agree with those of a node of another label as often as the threshold lets expect, less SLACK standard errors. Sizes that the threshold rules out are not compared."""
     least = REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(rows):
-            side, label = _apart(block)
+            n = block.column("n").to_numpy()
+            block = block.take(pa.array(np.argsort(n, kind="stable")))
+            n = np.sort(n)
+            side, label, others = _apart(block)
             registers = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             found = np.zeros(len(side), dtype=bool)
-            for i in range(len(side)):
-                other = (side != side[i]) & (label != label[i])
-                if not found[i] or not found[other].all():
-                    near = other & ((registers == registers[i]).sum(axis=1) >= least)
-                    found |= near
-                    found[i] |= near.any()
+            low, high = np.searchsorted(n, n * threshold - 1e-6), np.searchsorted(n, n / threshold + 1e-6, side="right")
+            for i in others:
+                a, b = low[i], high[i]
+                near = ((registers[a:b] == registers[i]).sum(axis=1) >= least) & (side[a:b] != side[i]) & (label[a:b] != label[i])
+                found[a:b] |= near
+                found[i] |= near.any()
             if found.any():
                 yield from block.select([*BLOCK, "side", "node", "label"]).filter(pa.array(found)).to_batches()
 
@@ -245,39 +249,33 @@ def _maybe(threshold: float):
 
 
 def _spanning(k: int, percent: int):
-    """All pairs of nodes of a block by a product of incidence matrices. Returns links that join labels, no more than it takes."""
+    """The pairs of nodes of a block, counted by an index of its shingles. Returns links that join labels, no more than it takes."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(rows):
-            sides, labels = _apart(block)
             sets = shingle_sets(common.as_bytes(block.column("text").combine_chunks()), k)
-            out = _links(block.column("node").to_numpy(), sides, labels, sets, percent)
+            out = _links(block.column("node").to_numpy(), *_apart(block), sets, percent)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _links(node: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    sizes, (_, label) = np.array([len(s) for s in sets]), np.unique(label, return_inverse=True)
-    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    column = np.cumsum(times > 1) - 1
-    shared = times[at] > 1
-    owner, column = owner[shared], column[at[shared]]
-    both = np.zeros((len(sets), len(sets)), dtype=np.int64)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
-        part = slice(*np.searchsorted(column, [low, low + 4096]))
-        there = np.zeros((len(sets), 4096), dtype=np.float32)
-        there[owner[part], column[part] - low] = 1
-        both += (there @ there.T).astype(np.int64)  # 4096 at most, exact
-    linked = (100 + percent) * both >= percent * (sizes[:, None] + sizes[None, :])
-    linked &= (side[:, None] != side[None, :]) & (label[:, None] != label[None, :])
+def _links(node: np.ndarray, side: np.ndarray, label: np.ndarray, others: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    sizes, label = np.array([len(s) for s in sets]), label.copy()
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]  # of each token in turn
+    first = np.cumsum(times) - times
     out = []
-    for i in range(len(sets)):
-        for j in np.flatnonzero(linked[i]):
+    for i in others:
+        own = at[begin[i] : begin[i + 1]]
+        n = times[own]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) + np.repeat(first[own] - (ends - n), n)
+        both = np.bincount(owners[places], minlength=len(sets))
+        linked = ((100 + percent) * both >= percent * (sizes[i] + sizes)) & (side != side[i]) & (label != label[i])
+        for j in np.flatnonzero(linked):
             if label[i] != label[j]:
                 out.append((int(node[i]), int(node[j])))
                 label[label == label[j]] = label[i]
@@ -384,7 +382,7 @@ class Groups:
         opened = large.join(labels, "node")
         differ = opened.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select("bucket")
         size_class = F.when(F.col("size") > CHUNK, F.floor(F.log("n") / float(-np.log(self.percent / 100 - 1e-6)))).otherwise(0).cast("int")  # linked sets are of one class or of two that follow each other
-        opened = opened.join(differ, "bucket", "left_semi").join(self.nodes.select("node", "n"), "node").select("bucket", "node", "label", size_class.alias("class"))
+        opened = opened.join(differ, "bucket", "left_semi").join(self.nodes, "node").select("bucket", "node", "label", "n", "sketch", size_class.alias("class"))
         opened, opened_path = common.cut_at(opened, "open_buckets")
         if opened.isEmpty():
             return labels
@@ -400,10 +398,9 @@ class Groups:
         within = other(own, lambda j: block(own, F.least(chunk, j), own, F.greatest(chunk, j), F.when(chunk <= j, 0).otherwise(1)))
         above = other(own + 1, lambda j: block(own, chunk, own + 1, j, F.lit(0)))
         below = other(own - 1, lambda j: block(own - 1, j, own, chunk, F.lit(1)))
-        dealt = placed.withColumn("block", F.explode(F.concat(within, above, below))).where("block is not null").select("bucket", "node", "label", "block.*")
-        dealt = dealt.join(self.nodes.select("node", "sketch"), "node")
+        dealt = placed.withColumn("block", F.explode(F.concat(within, above, below))).where("block is not null").select("bucket", "node", "label", "n", "sketch", "block.*")
         types = f"{_BLOCK_TYPES}, side int, node long, label long"
-        maybe = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node").select(*BLOCK, "side", "node", "label", "sketch").mapInArrow(_maybe(self.percent / 100), types)
+        maybe = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node").select(*BLOCK, "side", "node", "label", "n", "sketch").mapInArrow(_maybe(self.percent / 100), types)
         maybe, maybe_path = common.cut_at(maybe, "maybe")
         if not maybe.isEmpty():
             wanted, wanted_path = common.cut_at(maybe.select(F.col("node").alias("row")).distinct(), "wanted")

@@ -97,7 +97,7 @@ def test_sketches_estimate_and_merge():
         assert abs(np.mean(est) - both / (2 * n - both)) < 0.04
 
 
-def test_large_bucket_of_scattered_copies(spark):
+def test_large_bucket_of_scattered_copies(spark, monkeypatch):
     """A centre with copies at all distances, copies of far copies, shorter ones, and texts that share a passage only."""
     rng = np.random.default_rng(9)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
@@ -122,4 +122,6 @@ def test_large_bucket_of_scattered_copies(spark):
     want = brute(texts, 4)
     docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string").repartition(4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, k=4).collect()} == want
+    monkeypatch.setattr(near_dup, "CHUNK", 16)  # so that the buckets have many blocks and size classes
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, k=4).collect()} == want
     assert 2 < len({c for _, c in want.values()}) < len(want)
