@@ -27,8 +27,8 @@ def genes(spark, sf_dir):
     )
 
 
-def _loci(spark, sf_dir, anchor: str = ANCHOR):
-    return locus.without_arrays(locus.with_operon(locus.loci(genes(spark, sf_dir), F.col("label") == anchor, NEAR), GAP))
+def _loci(spark, sf_dir, *anchors: str):
+    return locus.without_arrays(locus.with_operon(locus.loci(genes(spark, sf_dir), F.col("label").isin(*(anchors or (ANCHOR,))), NEAR), GAP))
 
 
 _G = f"""WITH g0 AS (SELECT user_id AS contig_id, event_id AS gene_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + {LONG} AS e, CASE WHEN value > 100 THEN 1 ELSE -1 END AS strand, event_type AS label, length(props) AS aa FROM events),

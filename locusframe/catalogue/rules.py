@@ -19,7 +19,17 @@ METRICS = {
 _BAGS = "SELECT k, " + ", ".join(f"CAST({v} AS {'BOOLEAN' if k in ('triad_intact', 'clade_restricted') else 'DOUBLE'}) AS {k}" for k, v in METRICS.items())
 _M = f"WITH m AS ({_BAGS} FROM (SELECT p_partkey AS k FROM part))"
 _CLAMP = "least(greatest({}, 0.0), 1.0)"
-_GATES = {g.gate_id: g.expr for g in R.default_rubric().gates}
+_GATES = {
+    "catalytic_core": "triad_intact",
+    "domain_coverage": "core_coverage >= 0.7 AND aligned_fraction >= 0.35",
+    "not_low_complexity": "low_complexity <= 0.3",
+    "significance": "evalue <= 1e-5 AND profile_z >= 8",
+    "novelty": "novelty >= 0.35",
+    "partner_is_not_known": "partner_known_neglog_e < 3.0",
+    "reproducible_association": "n_independent_loci >= 3 AND partner_conservation >= 0.5",
+    "has_testable_component": "partner_conservation >= 0.5 OR array_quality >= 0.4 AND array_operon_gap_bp <= 3000",
+    "not_redundant": "n_clusters >= 3",
+}
 _PRIORITY = (
     f"(2.0 * {_CLAMP.format('novelty')} + 2.0 * {_CLAMP.format('partner_conservation')} + 1.5 * {_CLAMP.format('association_neglog_p / 6.0')}"
     f" + 1.0 * {_CLAMP.format('n_phyla / 3.0')} * (CASE WHEN clade_restricted THEN 0.4 ELSE 1.0 END) + 1.5 * {_CLAMP.format('array_quality')} + 1.0 * {_CLAMP.format('n_predictions / 3.0')}) / 9.0"
@@ -41,6 +51,15 @@ def rubric_disposition(spark, sf_dir):
     return _applied(spark, sf_dir).select("k", F.array_join("failed_gates", ",").alias("failed_gates"), rounded(F.col("priority"), 5).alias("priority"), "disposition")
 
 
+@query(f"""{_M}, n AS (SELECT * REPLACE (CASE WHEN k % 10 > 0 THEN novelty END AS novelty, CASE WHEN k % 15 > 0 THEN n_phyla END AS n_phyla) FROM m)
+SELECT k, CASE WHEN novelty IS NULL OR n_phyla IS NULL THEN 'hold' WHEN len({_FAILED}) > 0 THEN 'eliminate' WHEN {_PRIORITY} >= 0.55 THEN 'promote' WHEN {_PRIORITY} >= 0.35 THEN 'hold' ELSE 'eliminate' END AS disposition,
+CASE WHEN novelty IS NULL OR n_phyla IS NULL THEN 'no value of ' || concat_ws(', ', CASE WHEN n_phyla IS NULL THEN 'n_phyla' END, CASE WHEN novelty IS NULL THEN 'novelty' END) END AS error, round(CASE WHEN n_clusters > 0 THEN novelty / n_clusters ELSE 0.0 END, 6) AS per_cluster FROM n""")
+def rubric_missing_values(spark, sf_dir):
+    """Candidates without some metric are held and say which; a rule guards its quotient."""
+    m = metrics(spark, sf_dir).withColumn("novelty", F.when(F.col("k") % 10 > 0, F.col("novelty"))).withColumn("n_phyla", F.when(F.col("k") % 15 > 0, F.col("n_phyla")))
+    return R.default_rubric().apply(m).select("k", "disposition", "error", rounded(R.rule("novelty / n_clusters if n_clusters > 0 else 0.0", m)).alias("per_cluster"))
+
+
 @query(f"""{_V}, g AS (SELECT unnest([{', '.join(f"'{g}'" for g in _GATES)}]) AS gate_id), c AS (SELECT unnest(failed) AS gate_id, count(*) AS fired FROM v GROUP BY 1), t AS (SELECT count(*) AS total FROM v)
 SELECT gate_id, coalesce(fired, 0) AS fired, total, coalesce(fired, 0) = 0 AS inert, coalesce(fired, 0) = total AS saturated FROM g LEFT JOIN c USING (gate_id), t""")
 def gate_activity(spark, sf_dir):

@@ -87,7 +87,7 @@ WHERE shared / (nq + nt - shared) >= 0.2""")
 def kmer_set_jaccard(spark, sf_dir):
     q, t = _sides(spark, sf_dir)
     sets = [df.select(key, F.explode(S.kmer_set(F.col("s"))).alias("kmer")) for df, key in ((q, "item_id"), (t, "doc_id"))]
-    found = similarity.shared_sets(*sets, "item_id", "doc_id", "kmer").where("jaccard >= 0.2")
+    found = similarity.shared_sets(*sets, "item_id", "doc_id", "kmer", 0.2)
     return found.withColumn("jaccard", rounded(F.col("jaccard")))
 
 

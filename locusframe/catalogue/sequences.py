@@ -91,14 +91,14 @@ def seq_hamming_identity(spark, sf_dir):
 
 
 @query(f"""{_P}, w AS (SELECT doc_id, unnest(range(0, length(s) - 3)) AS start, s FROM p WHERE length(s) >= 4)
-SELECT doc_id, start, substr(s, start + 1, 4) AS match FROM w WHERE regexp_matches(substr(s, start + 1, 4), '^{motifs.to_regex(MOTIF_C)}$')""")
+SELECT doc_id, start, substr(s, start + 1, 4) AS match FROM w WHERE regexp_matches(substr(s, start + 1, 4), '^[FYLIVMA].[DE]D$')""")
 def motif_matches(spark, sf_dir):
     found = motifs.matches(_protein(spark, sf_dir), "doc_id", F.col("s"), MOTIF_C)
     return found.select("doc_id", F.col("start").cast("long").alias("start"), "match")
 
 
-@query(f"""{_P}, a AS (SELECT * FROM (SELECT doc_id, unnest(range(0, length(s) - 4)) AS start, s FROM p WHERE length(s) >= 5) WHERE regexp_matches(substr(s, start + 1, 5), '^{motifs.to_regex(MOTIF_A)}$')),
-c AS (SELECT * FROM (SELECT doc_id, unnest(range(0, length(s) - 3)) AS start, s FROM p WHERE length(s) >= 4) WHERE regexp_matches(substr(s, start + 1, 4), '^{motifs.to_regex(MOTIF_C)}$'))
+@query(f"""{_P}, a AS (SELECT * FROM (SELECT doc_id, unnest(range(0, length(s) - 4)) AS start, s FROM p WHERE length(s) >= 5) WHERE regexp_matches(substr(s, start + 1, 5), '^[FYLIV].[AST][DN][AILMV]$')),
+c AS (SELECT * FROM (SELECT doc_id, unnest(range(0, length(s) - 3)) AS start, s FROM p WHERE length(s) >= 4) WHERE regexp_matches(substr(s, start + 1, 4), '^[FYLIVMA].[DE]D$'))
 SELECT a.doc_id, a.start, count(c.start) AS n_linked FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND c.start BETWEEN a.start + 5 + {GAP[0]} AND a.start + 5 + {GAP[1]} GROUP BY 1, 2""")
 def motif_range_join(spark, sf_dir):
     p = _protein(spark, sf_dir)
@@ -106,7 +106,11 @@ def motif_range_join(spark, sf_dir):
     return motifs.linked_pairs(*found, "doc_id", GAP).select("doc_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n_linked"))
 
 
-@query()
+@query(f"""{_D}, b AS (SELECT doc_id, 1 AS strand, s FROM p UNION ALL SELECT doc_id, -1, reverse(translate(s, 'ACGT', 'TGCA')) FROM p),
+c AS (SELECT doc_id, strand, length(s) AS n, i AS pos, substr(s, i::int + 1, 3) AS codon FROM b, unnest(range(0, greatest(length(s) - 2, 0))) u(i)),
+k AS (SELECT * FROM c WHERE codon IN ('ATG', 'TAA', 'TAG', 'TGA')),
+f AS (SELECT *, min(CASE WHEN codon <> 'ATG' THEN pos END) OVER (PARTITION BY doc_id, strand, pos % 3 ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM k)
+SELECT doc_id, (CASE WHEN strand = 1 THEN pos ELSE n - stop - 3 END)::int AS start, (CASE WHEN strand = 1 THEN stop + 3 ELSE n - pos END)::int AS "end", strand::int AS strand, ((stop - pos) // 3)::int AS length FROM f WHERE codon = 'ATG' AND stop IS NOT NULL AND (stop - pos) // 3 >= 30""")
 def open_reading_frames(spark, sf_dir):
     rows = _dna(spark, sf_dir).select("doc_id", F.explode(windows.open_reading_frames("s")).alias("o"))
     return rows.select("doc_id", "o.start", "o.end", "o.strand", "o.length")

@@ -40,20 +40,20 @@ m AS (SELECT *, max(CASE WHEN p <= 0.2 * rank / n THEN rank END) OVER () AS last
 def benjamini_hochberg_flags(spark, sf_dir):
     t = _user_tables(spark, sf_dir)
     p = t.select("user_id", F.round(stats.fisher_p(*[F.col(x) for x in "abcd"]), 9).alias("p"))
-    return stats.benjamini_hochberg(p, "p", "user_id", alpha=0.2).select("user_id", "rejected")
+    return stats.benjamini_hochberg(p, "p", alpha=0.2).select("user_id", "rejected")
 
 
-@query("""WITH """ + loci._l().removeprefix("WITH ").replace("around AS", "cand AS").replace("a AS (SELECT", "a AS (SELECT", 1) + """,
+@query(f"""WITH cand AS ({loci._l(loci.ANCHOR)} SELECT * FROM around), back AS ({loci._l(loci.BACKGROUND)} SELECT * FROM around),
 one AS (SELECT contig_id, anchor_id, list(DISTINCT label) FILTER (in_operon AND off <> 0) AS labels FROM cand GROUP BY ALL), n1 AS (SELECT count(*) AS n FROM one), c1 AS (SELECT unnest(labels) AS label, count(*) AS k FROM one GROUP BY 1),
-"""  + loci._l(loci.BACKGROUND).split("FROM events),", 1)[1].split("a AS (SELECT contig_id, gene_id", 1)[1].join(["a2 AS (SELECT contig_id, gene_id", ""]).replace("side AS (SELECT a.*", "side2 AS (SELECT a.*").replace("FROM a JOIN g ON a.", "FROM a2 a JOIN g ON a.").replace("cut AS (SELECT", "cut2 AS (SELECT").replace("FROM side WINDOW", "FROM side2 WINDOW").replace("around AS (SELECT", "back AS (SELECT").replace("FROM cut WHERE", "FROM cut2 WHERE") + f""",
 two AS (SELECT contig_id, anchor_id, list(DISTINCT label) FILTER (in_operon AND off <> 0) AS labels FROM back GROUP BY ALL), n2 AS (SELECT count(*) AS n FROM two), c2 AS (SELECT unnest(labels) AS label, count(*) AS k FROM two GROUP BY 1),
 f AS (SELECT c1.label, c1.k AS a, n1.n - c1.k AS b, coalesce(c2.k, 0) AS c, n2.n - coalesce(c2.k, 0) AS d FROM c1 LEFT JOIN c2 USING (label), n1, n2)
 SELECT label, a, b, c, d, round(least(1.0, {_TAIL}), 6) AS p_value FROM f""")
 def neighbour_enrichment(spark, sf_dir):
     """Labels next to purchases against labels next to signups."""
-    seen = [locus.conservation(loci._loci(spark, sf_dir, anchor)) for anchor in (loci.ANCHOR, loci.BACKGROUND)]
-    n = [loci.genes(spark, sf_dir).where(F.col("label") == anchor).agg(F.count("*").alias(name)) for anchor, name in ((loci.ANCHOR, "n1"), (loci.BACKGROUND, "n2"))]
-    both = seen[0].select("label", F.col("n_loci").alias("a")).join(seen[1].select("label", F.col("n_loci").alias("c0")), "label", "left").crossJoin(F.broadcast(n[0])).crossJoin(F.broadcast(n[1]))  # one row each
+    located = loci._loci(spark, sf_dir, loci.ANCHOR, loci.BACKGROUND).withColumn("of", F.col("anchor.label"))
+    seen = locus.conservation(located, ["of"]).groupBy("label").agg(*[F.sum(F.when(F.col("of") == anchor, F.col("n_loci"))).alias(c) for anchor, c in ((loci.ANCHOR, "a"), (loci.BACKGROUND, "c0"))])
+    n = loci.genes(spark, sf_dir).agg(*[F.sum((F.col("label") == anchor).cast("long")).alias(c) for anchor, c in ((loci.ANCHOR, "n1"), (loci.BACKGROUND, "n2"))])
+    both = seen.where("a is not null").crossJoin(F.broadcast(n))  # one row
     t = both.select("label", "a", (F.col("n1") - F.col("a")).alias("b"), F.coalesce("c0", F.lit(0)).alias("c"), (F.col("n2") - F.coalesce("c0", F.lit(0))).alias("d"))
     return t.select("*", rounded(stats.fisher_p(*[F.col(x) for x in "abcd"])).alias("p_value"))
 

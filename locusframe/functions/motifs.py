@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import AMINO, kmers
+from .sequence import AMINO
 
 _ELEMENT = re.compile(r"(<?)(?:\[([A-Z]+)\]|\{([A-Z]+)\}|([A-Zx]))(?:\((\d+)(?:,(\d+))?\))?(>?)")
 
@@ -37,23 +37,19 @@ def to_regex(pattern: str) -> str:
     return out
 
 
-def width(pattern: str) -> int:
-    """Residues that a match takes; a pattern of variable length has none."""
-    parts = elements(pattern)
-    if any(low != high for _, _, low, high, _ in parts):
-        raise ValueError(f"{pattern!r} has no fixed length")
-    return sum(low for _, _, low, _, _ in parts)
-
-
 def information(pattern: str) -> float:
     """Bits: log2(20 / allowed residues) over all positions."""
     return sum(low * math.log2(len(AMINO) / len(letters)) for _, letters, low, _, _ in elements(pattern))
 
 
+def found_at(sequence: Column, pattern: str) -> Column:
+    """An array with an entry for each place: what matches there, or an empty string. Patterns may be of any length; a place has one match."""
+    return F.regexp_extract_all(sequence, F.lit(f"(?s)(?=({to_regex(pattern)})?)."), F.lit(1))
+
+
 def matches(df: DataFrame, key: str, sequence: Column, pattern: str) -> DataFrame:
-    """key, start (from 0) and match of all matches of a pattern of fixed length, overlapping ones included."""
-    rows = df.select(key, F.posexplode(kmers(sequence, width(pattern))).alias("start", "match"))
-    return rows.where(F.col("match").rlike(f"^{to_regex(pattern)}$"))
+    """key, start (from 0) and match of all matches of a pattern, overlapping ones included."""
+    return df.select(key, F.posexplode(found_at(sequence, pattern)).alias("start", "match")).where("match <> ''")
 
 
 def linked_pairs(first: DataFrame, second: DataFrame, key: str, gap: tuple[int, int]) -> DataFrame:

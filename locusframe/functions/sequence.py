@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,25 +48,34 @@ def translate(s: Column, to_stop: bool = True) -> Column:
     return F.substring_index(protein, "*", 1) if to_stop else protein
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def occurrences(s: Column, letters: str) -> Column:
     """How many characters of s are among letters."""
-    return F.length(s) - F.length(F.translate(s, letters, ""))
+    return sum((F.length(s) - F.length(F.replace(s, F.lit(a), F.lit(""))) for a in letters), F.lit(0))
+
+
+def _counts(s: Column) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("residue"), occurrences(s, a).alias("n")) for a in AMINO])
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda t, x: t + x["n"])
 
 
 def composition(s: Column) -> Column:
     """An array of (residue, frequency) over the twenty residues."""
-    total = F.greatest(occurrences(s, AMINO), F.lit(1))
-    return F.array(*[F.struct(F.lit(a).alias("residue"), (occurrences(s, a) / total).alias("frequency")) for a in AMINO])
+    shares = lambda own, total: F.transform(own, lambda x: F.struct(x["residue"].alias("residue"), (x["n"] / F.greatest(total, F.lit(1))).alias("frequency")))
+    return let(_counts(s), lambda own: let(_total(own), lambda total: shares(own, total)))
 
 
 def shannon_entropy(s: Column) -> Column:
     """In bits over the residues that s has; 0 without any."""
-    total = occurrences(s, AMINO)
-    out = F.lit(0.0)
-    for a in AMINO:
-        p = occurrences(s, a) / total
-        out = out + F.when(occurrences(s, a) > 0, -p * F.log2(p)).otherwise(0.0)
-    return F.when(total > 0, out).otherwise(0.0)
+    part = lambda x, total: F.when(x["n"] > 0, -(x["n"] / total) * F.log2(x["n"] / total)).otherwise(0.0)
+    return let(_counts(s), lambda own: let(_total(own), lambda total: F.aggregate(own, F.lit(0.0), lambda e, x: e + part(x, total))))
 
 
 def gc_content(s: Column) -> Column:

@@ -110,17 +110,30 @@ def islands(genes: DataFrame, max_gap: int = MAX_GAP, chunk_bp: int = 1_000_000)
     return marked.withColumn("_run", running).join(chunks, ["contig_id", "chunk"]).withColumn("island", F.col("carried") + F.col("_run")).drop("_break", "_run", "carried", "chunk")
 
 
+ARRAYS = "array<struct<start:bigint,end:bigint,copy_number:int,repeat_length:int,class:string,quality:double>>"
+#: Base pairs of a bin by which loci and arrays meet.
+ARRAY_BIN = 1 << 16
+
+
 def with_arrays(located: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Adds arrays: the repeat arrays (contig_id, start, end, copy_number, repeat_length, class) that overlap the locus' span, by start. A range join within contigs."""
-    inside = located.select("contig_id", F.col("anchor.gene_id").alias("anchor_id"), "span_start", "span_end").join(arrays, "contig_id").where((F.col("start") < F.col("span_end")) & (F.col("span_start") < F.col("end")))
-    found = inside.groupBy("contig_id", "anchor_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "copy_number", "repeat_length", "class"))).alias("arrays"))
-    joined = located.withColumn("anchor_id", F.col("anchor.gene_id")).join(found, ["contig_id", "anchor_id"], "left").drop("anchor_id")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,copy_number:int,repeat_length:int,class:string>>")
-    return joined.withColumn("arrays", F.coalesce("arrays", none))
+    """Adds arrays: the repeat arrays (contig_id, start, end, copy_number, repeat_length, class, and quality where it is known) that overlap the locus' span, by start.
+
+    A range join by bins of a contig, so that a contig may be any share of the rows; a pair counts in the first bin that both reach.
+    """
+    bins = lambda a, b: F.sequence(F.floor(a / ARRAY_BIN), F.floor((b - 1) / ARRAY_BIN))
+    of_loci = located.select("contig_id", F.col("anchor.gene_id").alias("anchor_id"), "span_start", "span_end").withColumn("bin", F.explode(bins(F.col("span_start"), F.col("span_end"))))
+    of_arrays = arrays.withColumn("bin", F.explode(bins(F.col("start"), F.col("end"))))
+    if "quality" not in arrays.columns:
+        of_arrays = of_arrays.withColumn("quality", F.lit(None).cast("double"))
+    overlap = (F.col("start") < F.col("span_end")) & (F.col("span_start") < F.col("end"))
+    inside = of_loci.join(of_arrays, ["contig_id", "bin"]).where(overlap & (F.col("bin") == F.floor(F.greatest("start", "span_start") / ARRAY_BIN)))
+    found = inside.groupBy("contig_id", "anchor_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "copy_number", "repeat_length", "class", "quality"))).alias("arrays"))
+    joined = located.drop("arrays").withColumn("anchor_id", F.col("anchor.gene_id")).join(found, ["contig_id", "anchor_id"], "left").drop("anchor_id")
+    return joined.withColumn("arrays", F.coalesce("arrays", F.array().cast(ARRAYS)))
 
 
 def without_arrays(located: DataFrame) -> DataFrame:
-    return located.withColumn("arrays", F.array().cast("array<struct<start:bigint,end:bigint,copy_number:int,repeat_length:int,class:string>>"))
+    return located.withColumn("arrays", F.array().cast(ARRAYS))
 
 
 def architecture(genes: Column, arrays: Column, anchor: Column, detail: str = "full") -> Column:

@@ -61,12 +61,27 @@ def best_segment(query: Column, target: Column, diagonal: Column, match: float =
     return F.aggregate(scores, start, step)["best"]
 
 
-def shared_sets(queries: DataFrame, targets: DataFrame, query: str, target: str, value: str) -> DataFrame:
-    """query, target, shared and jaccard of sets given as distinct (key, value) rows. Pairs without a shared value have no row."""
-    size = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
-    both = queries.join(targets, value).groupBy(query, target).agg(F.count("*").alias("shared"))
-    joined = both.join(size(queries, query, "n_q"), query).join(size(targets, target, "n_t"), target)
-    return joined.select(query, target, "shared", (F.col("shared") / (F.col("n_q") + F.col("n_t") - F.col("shared"))).alias("jaccard"))
+def shared_sets(queries: DataFrame, targets: DataFrame, query: str, target: str, value: str, least: float = 0.0) -> DataFrame:
+    """query, target, shared and jaccard of sets given as distinct (key, value) rows, for pairs with a Jaccard similarity of ``least`` or more (over 0).
+
+    A pair can only reach ``least`` if one of each set's rarest values is shared: of n values ordered by how many targets have them, the first
+    n - ceil(least * n) + 1. Pairs come from the join of these alone, and only sets of sizes within ``least`` of each other; the
+    sets of the pairs that are left are compared whole.
+    """
+    common = targets.groupBy(value).agg(F.count("*").alias("often_"))
+    ranked = lambda df, key, n, own: (
+        df.join(common, value, "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often_", F.lit(0)).alias("often_"), F.col(value).alias("v")))).alias("x"))
+        .select(key, F.size("x").alias(n), F.col("x.v").alias(own))
+    )
+    q, t = ranked(queries, query, "n_q", "own_q"), ranked(targets, target, "n_t", "own_t")
+    first = lambda df, key, n, own: df.select(key, n, F.explode(F.slice(own, F.lit(1), (F.col(n) - F.ceil(F.lit(least) * F.col(n) - 1e-9) + 1).cast("int"))).alias("v"))
+    if least > 0:
+        near = first(q, query, "n_q", "own_q").join(first(t, target, "n_t", "own_t"), "v").where((F.col("n_q") >= least * F.col("n_t") - 1e-9) & (F.col("n_t") >= least * F.col("n_q") - 1e-9)).select(query, target).distinct()
+    else:
+        near = queries.join(targets, value).select(query, target).distinct()
+    both = near.join(q, query).join(t, target).withColumn("shared", F.size(F.array_intersect("own_q", "own_t")).cast("long"))
+    out = both.select(query, target, "shared", (F.col("shared") / (F.col("n_q") + F.col("n_t") - F.col("shared"))).alias("jaccard"))
+    return out.where((F.col("jaccard") >= least) & (F.col("shared") > 0))
 
 
 def bits(raw: Column, gapped_lambda: float = 0.267, k: float = 0.041) -> Column:
@@ -75,5 +90,5 @@ def bits(raw: Column, gapped_lambda: float = 0.267, k: float = 0.041) -> Column:
 
 
 def evalue(bit_score: Column, query_length: Column, database_length: Column) -> Column:
-    """Expected chance hits of at least that bit score."""
-    return query_length.cast("double") * database_length * F.pow(F.lit(2.0), -F.least(bit_score, F.lit(1000.0)))
+    """Expected chance hits of at least that bit score; null for none."""
+    return query_length.cast("double") * database_length * F.pow(F.lit(2.0), -F.when(bit_score > 1000, 1000.0).otherwise(bit_score))

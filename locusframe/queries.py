@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from locusframe.catalogue import loci, rules, search, sequences, statistics
+from locusframe.catalogue import arrays, campaign, families, loci, rules, search, sequences, statistics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (sequences, search, loci, statistics, rules):
+for _module in (sequences, search, loci, statistics, rules, families, arrays, campaign):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
