@@ -352,13 +352,15 @@ class Groups:
         of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         likely, path = common.cut_at(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(self.percent / 100), "a long, b long"), "likely")
         ends = likely.select(F.col("a").alias("x"), F.col("b").alias("y")).union(likely.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        degree = ends.groupBy("y").agg(F.count("*").alias("degree"))
-        best = ends.join(degree, "y").groupBy("x").agg(F.max_by("y", F.struct("degree", -F.col("y"))).alias("y"))
+        degree, degree_path = common.cut_at(ends.groupBy("y").agg(F.count("*").alias("degree")), "degrees")
+        many = F.col("degree") * common.OFTEN > self.total
+        best = common.spread_join(ends, degree, ["y"], many, "x").groupBy("x").agg(F.max_by("y", F.struct("degree", -F.col("y"))).alias("y"))
         labels = self._joined(best.where("x <> y"), labels)
         label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
         apart = likely.join(label("a"), "a").join(label("b"), "b").where("label_a <> label_b")
         labels = self._joined(apart.select(F.col("a").alias("x"), F.col("b").alias("y")), labels)
-        common.drop_table(self.spark, path)
+        for p in (path, degree_path):
+            common.drop_table(self.spark, p)
         return labels
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
