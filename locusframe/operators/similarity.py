@@ -68,6 +68,11 @@ def shared_sets(queries: DataFrame, targets: DataFrame, query: str, target: str,
     n - ceil(least * n) + 1. Pairs come from the join of these alone, and only sets of sizes within ``least`` of each other; the
     sets of the pairs that are left are compared whole.
     """
+    if least > 0:  # targets too small or too large for any query
+        size = targets.groupBy(target).agg(F.count("*").alias("n_"))
+        ends = queries.groupBy(query).agg(F.count("*").alias("n_")).agg(F.min("n_").alias("low_"), F.max("n_").alias("high_"))
+        fit = size.crossJoin(F.broadcast(ends)).where((F.col("n_") >= least * F.col("low_") - 1e-9) & (F.col("high_") >= least * F.col("n_") - 1e-9))  # one row
+        targets = targets.join(fit.select(target), target, "left_semi")
     common = targets.groupBy(value).agg(F.count("*").alias("often_"))
     ranked = lambda df, key, n, own: (
         df.join(common, value, "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often_", F.lit(0)).alias("often_"), F.col(value).alias("v")))).alias("x"))
