@@ -32,14 +32,14 @@ def repeat_arrays(spark, sf_dir):
     return out.select("contig_id", "place", "start", "end", "strand", "repeat_consensus", "copy_number", "repeat_length", "class", *[v.alias(k) for k, v in numbers.items()])
 
 
-@query("""WITH o AS (SELECT l_orderkey AS array_id, list(l_quantity::int ORDER BY l_linenumber) AS spacers, count(*) + 1 AS copies, avg(l_discount) * 12 AS alike FROM lineitem GROUP BY 1),
+@query("""WITH o AS (SELECT l_orderkey AS array_id, list(l_quantity::int ORDER BY l_linenumber) AS spacers, count(*) + 1 AS copies, round(avg(l_discount) * 12, 6) AS alike FROM lineitem GROUP BY 1),
 r AS (SELECT *, CASE WHEN len(spacers) < 2 OR list_avg(spacers) = 0 THEN 0.0 ELSE greatest(0.0, 1 - list_stddev_pop(spacers) / list_avg(spacers)) END AS regularity FROM o)
 SELECT array_id, round(regularity, 6) AS regularity, CASE WHEN alike > 0.6 THEN 'tandem-repeat' WHEN copies >= 3 AND regularity > 0.75 THEN 'spacer-array' ELSE 'irregular-repeat' END AS class,
 CASE WHEN alike > 0.6 THEN 'tandem-repeat (near-identical spacers; likely structural or VNTR)' WHEN list_avg(spacers) BETWEEN 25 AND 50 AND copies >= 3 AND regularity > 0.8 THEN 'CRISPR-like (repeat-spacer array with distinct spacers)' WHEN copies >= 3 AND regularity > 0.75 THEN 'regularly spaced non-coding array' ELSE 'irregular repeat cluster' END AS described,
 round((0.45 * least(1.0, copies / 8) + 0.30 * regularity + 0.25 * greatest(0.0, 1 - alike / 0.6)) * CASE WHEN alike > 0.6 THEN 0.15 ELSE 1.0 END, 9) AS quality FROM r""")
 def array_classes(spark, sf_dir):
     """Orders' quantities as the spacers of an array."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("array_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"), (F.avg("l_discount") * 12).alias("alike"))  # lines of an order
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("array_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"), F.round(F.avg("l_discount") * 12, 6).alias("alike"))  # lines of an order
     rows = lines.select("array_id", F.col("x.q").alias("spacers"), (F.size("x") + 1).alias("copies"), "alike").withColumn("regularity", repeats.regularity(F.col("spacers")))
     copies, regular, alike = F.col("copies"), F.col("regularity"), F.col("alike")
     return rows.select("array_id", rounded(regular).alias("regularity"), repeats.array_class(copies, regular, alike).alias("class"), repeats.described(copies, F.lit(30), F.col("spacers"), regular, alike).alias("described"), rounded(repeats.quality(copies, regular, alike), 9).alias("quality"))
