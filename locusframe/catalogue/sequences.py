@@ -106,8 +106,8 @@ def motif_range_join(spark, sf_dir):
     return motifs.linked_pairs(*found, "doc_id", GAP).select("doc_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n_linked"))
 
 
-@query(f"""{_D}, b AS (SELECT doc_id, 1 AS strand, s FROM p UNION ALL SELECT doc_id, -1, reverse(translate(s, 'ACGT', 'TGCA')) FROM p),
-c AS (SELECT doc_id, strand, length(s) AS n, i AS pos, substr(s, i::int + 1, 3) AS codon FROM b, unnest(range(0, greatest(length(s) - 2, 0))) u(i)),
+@query(f"""{_D}, b AS (SELECT doc_id, 1 AS strand, string_split(s, '') AS l, length(s) AS n FROM p UNION ALL SELECT doc_id, -1, string_split(reverse(translate(s, 'ACGT', 'TGCA')), ''), length(s) FROM p),
+c AS (SELECT doc_id, strand, n, i AS pos, l[i + 1] || l[i + 2] || l[i + 3] AS codon FROM b, unnest(range(0, greatest(n - 2, 0))) u(i)),
 k AS (SELECT * FROM c WHERE codon IN ('ATG', 'TAA', 'TAG', 'TGA')),
 f AS (SELECT *, min(CASE WHEN codon <> 'ATG' THEN pos END) OVER (PARTITION BY doc_id, strand, pos % 3 ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM k)
 SELECT doc_id, (CASE WHEN strand = 1 THEN pos ELSE n - stop - 3 END)::int AS start, (CASE WHEN strand = 1 THEN stop + 3 ELSE n - pos END)::int AS "end", strand::int AS strand, ((stop - pos) // 3)::int AS length FROM f WHERE codon = 'ATG' AND stop IS NOT NULL AND (stop - pos) // 3 >= 30""")
