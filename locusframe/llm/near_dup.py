@@ -438,8 +438,11 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = whole.select(F.col(row).alias("row"), "text", "doc_id")
     own = common.cut(Groups(rows, k, percent).components().join(rows.select("row", "doc_id"), "row"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    keep = own.where("label is not null").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)).union(own.where("label is null").select("row"))
-    return whole.join(keep, row, "left_semi").select(*common.quoted(docs.columns))
+    first = own.where("label is not null").groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1")
+    many = F.col("times") * common.OFTEN > own.count()
+    gone = common.spread_join(own, first, ["label"], many, "row").where("row <> first.row").select(F.col("row").alias(row))
+    gone = common.hinted(common.cut(gone, "gone"), MOST_WANTED)  # fewer than what stays; the documents are shuffled only where it is more than may be broadcast
+    return whole.join(gone, row, "left_anti").select(*common.quoted(docs.columns))
 
 
 def op2_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
