@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.sequence import kmer_set
 
 from . import alignment, similarity
+from .checkpoints import checkpointed
 
 IDENTITY, COVERAGE, JACCARD = 0.9, 0.8, 0.35
 
@@ -31,8 +32,8 @@ def alike(records: DataFrame, identity: float = IDENTITY, coverage: float = COVE
 
 def greedy(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """id and representative of records (id, sequence) by pairs of alike()."""
-    pairs = pairs.checkpoint()
-    state = records.select("id", F.lit(None).cast(records.schema["id"].dataType).alias("representative")).checkpoint()
+    pairs = checkpointed(pairs)
+    state = checkpointed(records.select("id", F.lit(None).cast(records.schema["id"].dataType).alias("representative")))
     first = Window.partitionBy("b").orderBy(F.desc("n_a"), "a")
     while True:
         # the earlier neighbours of undecided sequences in order, as far as the first that is itself a representative or undecided
@@ -42,10 +43,10 @@ def greedy(records: DataFrame, pairs: DataFrame) -> DataFrame:
         ahead = open_pairs.withColumn("place", F.row_number().over(first)).where("place = 1").select(F.col("b").alias("id"), "a", "of_a")
         told = todo.select(F.col("b").alias("id")).join(ahead, "id", "left")
         new = told.select("id", F.when(F.col("a").isNull(), F.col("id")).when(F.col("of_a").isNotNull(), F.col("a")).alias("new")).where("new is not null")
-        new = new.checkpoint()
+        new = checkpointed(new)
         if new.isEmpty():
             return state
-        state = state.join(new, "id", "left").select("id", F.coalesce("representative", "new").alias("representative")).checkpoint()
+        state = checkpointed(state.join(new, "id", "left").select("id", F.coalesce("representative", "new").alias("representative")))
 
 
 def greedy_clusters(records: DataFrame, identity: float = IDENTITY, coverage: float = COVERAGE, jaccard: float = JACCARD) -> DataFrame:

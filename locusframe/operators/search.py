@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.sequence import reduce_alphabet
 
 from . import alignment, profiles, similarity
+from .checkpoints import checkpointed
 
 K, LEAST_SEEDS, SEGMENT, MAX_EVALUE, PREFILTER_TOP, LIMIT = 4, 2, 30.0, 1e-3, 2000, 200
 
@@ -109,18 +110,18 @@ def bootstrapped(seeds: DataFrame, targets: DataFrame, rounds: int = 2, least_z:
     found = hits(sequence_search(seeds.select(F.col("family").alias("query"), F.col("sequence").alias("q_seq")), targets, k, letters, first_evalue, limit=first_limit))
     sequences = targets.select(F.col("target").alias("member"), F.col("t_seq").alias("sequence"))
     of = lambda h: described.union(h.select(F.col("query").alias("family"), F.col("target").alias("member")).join(sequences, "member").select("family", "member", "sequence")).dropDuplicates(["family", "member"])
-    members = of(found).checkpoint()
-    model = family_model(members).checkpoint()
+    members = checkpointed(of(found))
+    model = checkpointed(family_model(members))
     for _ in range(rounds):
         new = of(hits(profile_search(model, targets, k, letters, least_z=least_z, least_core=least_core)))
         enough = new.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") >= least_members).select("family")
-        new = new.join(enough, "family", "left_semi").union(members.join(enough, "family", "left_anti")).checkpoint()
+        new = checkpointed(new.join(enough, "family", "left_semi").union(members.join(enough, "family", "left_anti")))
         key = ["family", "member"]
         changed = new.select(key).subtract(members.select(key)).union(members.select(key).subtract(new.select(key)))
         if changed.isEmpty():
             break
         members = new
-        model = family_model(members).checkpoint()
+        model = checkpointed(family_model(members))
     return model, members
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import spread
 from locusframe.operators import clusters, locus, search
+from locusframe.operators.checkpoints import checkpointed
 from locusframe.sources.corpus import Corpus
 
 from . import outcomes
@@ -41,14 +42,14 @@ def survey(corpus: Corpus, rounds: int = 2) -> Survey:
     proteins = corpus["genes"].select(F.col("gene_id").alias("target"), F.col("protein").alias("t_seq"))
     seeds = corpus["references"].select("family", F.lit("reference").alias("member"), "sequence")
     models, members = search.bootstrapped(seeds, proteins, rounds)
-    return Survey(models, members, labelled(corpus["genes"], models).checkpoint())
+    return Survey(models, members, checkpointed(labelled(corpus["genes"], models)))
 
 
 def located(corpus: Corpus, genes: DataFrame, is_anchor, systems: list[locus.System]) -> DataFrame:
     """Loci of labelled genes with operon, arrays, matches with the described systems and novelty."""
     own = genes.withColumn("aa_length", F.length("protein"))
     found = locus.with_arrays(locus.with_operon(locus.loci(own, is_anchor)), corpus.arrays())
-    return locus.with_novelty(locus.with_matches(found, systems)).checkpoint()
+    return checkpointed(locus.with_novelty(locus.with_matches(found, systems)))
 
 
 def reproduced(loci: DataFrame, expected: DataFrame, targets: DataFrame) -> DataFrame:
