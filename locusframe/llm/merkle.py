@@ -28,6 +28,8 @@ from . import common
 ARITY, BLOCK_LEVELS = 3, 6
 #: Ranges of the sort, times their keys, whose counts may be broadcast; more are joined.
 MOST_RANGES = 1_000_000
+#: Leaves that a task takes at least, where there are so many: the small trees on top are written by few tasks.
+TASK_ROWS = 20_000
 
 Path = list[tuple[int, list[str]]]
 
@@ -171,16 +173,18 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
 
     Rows are sorted in ranges; a row's place is its place in the range and the counts of its key in the ranges before.
     """
-    placed, path = common.cut_at(rows.repartitionByRange("key", *order).sortWithinPartitions("key", *order).withColumn("id", F.monotonically_increasing_id()), "sorted")
-    placed = placed.withColumn("range", F.shiftright("id", 33))
+    dealt = rows.repartitionByRange("key", *order).sortWithinPartitions("key", *order).withColumn("id", F.monotonically_increasing_id())
+    placed = _few(dealt, rows, "sorted").withColumn("range", F.shiftright("id", 33))
     own = placed.groupBy("range", "key").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     of = Window.partitionBy("key")  # a row a range
     before = F.coalesce(F.sum("n").over(of.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts, counts_path = common.cut_at(own.select("range", "key", (before - F.col("first")).alias("shift"), F.sum("n").over(of).alias("total")), "ranges")
-    out = common.cut(placed.join(common.hinted(counts, MOST_RANGES), ["range", "key"]).withColumn("at", F.col("id") + F.col("shift")).select("key", "at", "total", *[c for c in rows.columns if c not in ("key", "tie")]), "ranked")
-    for p in (path, counts_path):
-        common.drop_table(rows.sparkSession, p)
-    return out
+    counts = own.select("range", "key", (before - F.col("first")).alias("shift"), F.sum("n").over(of).alias("total"))
+    return placed.join(common.hinted(counts, MOST_RANGES), ["range", "key"]).withColumn("at", F.col("id") + F.col("shift")).select("key", "at", "total", *[c for c in rows.columns if c not in ("key", "tie")])
+
+
+def _few(made: DataFrame, source: DataFrame, name: str) -> DataFrame:
+    """made as a written table; where the table it comes from has few rows, by few tasks."""
+    return common.cut(made.coalesce(max(1, -(-source.count() // TASK_ROWS))), name)
 
 
 # ---- Trees
@@ -245,7 +249,7 @@ def tree(rows: DataFrame, levels: int) -> list[DataFrame]:
     """rows (key, at, total, leaf), the roots of their blocks, the roots of these and so on: the last has a row a key."""
     out = [rows]
     while True:
-        out.append(common.cut(roots(out[-1], levels), "roots"))
+        out.append(_few(roots(out[-1], levels), out[-1], "roots"))
         if out[-1].where("total > 1").isEmpty():
             return out
 
@@ -278,7 +282,7 @@ def paths(rows: DataFrame, above: DataFrame, levels: int) -> DataFrame:
 def descended(levels_of: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """What stands above the blocks of the first table of a tree; above is what stands above its last."""
     for rows in reversed(levels_of[1:-1]):
-        above = common.cut(paths(rows, above, levels), "paths")
+        above = _few(paths(rows, above, levels), rows, "paths")
     return above
 
 
@@ -302,14 +306,14 @@ def manifest(docs: DataFrame, altered: Column | None = None, levels: int = BLOCK
     thin = common.cut(leaves(docs, altered), "leaves")
     rows = ranked(thin, "doc_id", "leaf", "tie")
     of_sources = tree(rows, levels)
-    subroots = common.cut(of_sources[-1].select(F.lit("").alias("key"), F.col("key").alias("source"), "leaf"), "subroots")
+    subroots = _few(of_sources[-1].select(F.lit("").alias("key"), F.col("key").alias("source"), "leaf"), of_sources[-1], "subroots")
     sources = ranked(subroots, "source")
     of_all = tree(sources, levels)
     hexed = F.lower(F.hex("leaf"))
     top = of_all[-1].select("key", F.lit(0).cast("long").alias("at"), F.lit("").alias("path"), F.lit("").alias("subroot"), hexed.alias("root"))
-    found = common.cut(paths(sources, descended(of_all, top, levels), levels), "paths")
+    found = _few(paths(sources, descended(of_all, top, levels), levels), subroots, "paths")
     above = found.join(sources.select("at", "source", hexed.alias("own")), "at").select(F.col("source").alias("key"), F.lit(0).cast("long").alias("at"), "path", F.col("own").alias("subroot"), "root")
-    return proofs(rows, descended(of_sources, common.cut(above, "paths"), levels), levels)
+    return proofs(rows, descended(of_sources, _few(above, subroots, "paths"), levels), levels)
 
 
 def without_newlines() -> Column:
