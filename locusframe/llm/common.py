@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
@@ -61,6 +63,22 @@ def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row (a new column), the same whenever it is read.
+
+    Rows of a Parquet table are numbered by their places in its files, so that nothing is copied; the rows of anything else are written first.
+    """
+    relation = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if relation and "_metadata" not in (c.lower() for c in docs.columns):
+        with contextlib.suppress(AnalysisException):  # a format that does not tell places
+            file, place = fresh(docs.columns, "file_"), fresh(docs.columns, "place_")
+            told = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+            number = F.row_number().over(Window.orderBy(file)).cast("long")
+            files = cut(told.select(file).distinct().select(file, number.alias(name)).coalesce(1), "files")  # a row a file
+            return told.join(F.broadcast(files), file).withColumn(name, F.shiftleft(name, 33) + F.col(place)).drop(file, place)
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that is not among columns, whatever their case."""
     taken = {c.lower() for c in columns}

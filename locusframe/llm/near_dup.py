@@ -23,7 +23,6 @@ empty table gives no rows; other columns are carried by ``deduplicate`` and not
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +41,8 @@ SLACK = 6
 SMALL = 12
 #: Rows whose ids may be broadcast to pick their texts; more are joined.
 MOST_WANTED = 1_000_000
+#: Texts that a task compares with one hub.
+SPOKES = 64
 #: Nodes of a chunk, about. A block is two chunks, whatever a bucket's size.
 CHUNK = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -173,23 +174,22 @@ def _likely(threshold: float):
 
 
 def _verify(k: int, percent: int):
+    """Links of rows (hub, salt, spoke, row, text) in which each hub comes before its spokes: those whose sets are as like as asked."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        own = np.empty(0, dtype=np.uint64)
         for batch in rows:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                a, b, n_a, n_b = (part.column(c).to_pylist() for c in ("x", "y", "text_x", "text_y"))
-                texts = {d: t for d, t in (*zip(a, n_a, strict=True), *zip(b, n_b, strict=True)) if d not in known}
-                for d, own in zip(texts, shingle_sets([t.encode() for t in texts.values()], k), strict=True):
-                    known[d] = own
                 keep = []
-                for d, e in zip(a, b, strict=True):
-                    both = len(np.intersect1d(known[d], known[e], assume_unique=True))
-                    keep.append(100 * both >= percent * (len(known[d]) + len(known[e]) - both))
-                    known.move_to_end(e)
-                while len(known) > 64:
-                    known.popitem(last=False)
-                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                for spoke, mine in zip(part.column("spoke").to_pylist(), shingle_sets(common.as_bytes(part.column("text")), k), strict=True):
+                    if spoke:
+                        both = len(np.intersect1d(own, mine, assume_unique=True))
+                        keep.append(100 * both >= percent * (len(own) + len(mine) - both))
+                    else:
+                        own = mine
+                        keep.append(False)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("hub")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -310,7 +310,7 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class Groups:
-    """Components of a table (row, doc_id, text, ...) written beforehand: ``members`` has row, node, n and label (null node: an empty set)."""
+    """Components of rows (row, doc_id, text, ...) that common.numbered gives: ``members`` has row, node, n and label (null node: an empty set)."""
 
     def __init__(self, rows: DataFrame, k: int, percent: int):
         self.spark, self.rows, self.k, self.percent = rows.sparkSession, rows, k, percent
@@ -324,16 +324,17 @@ class Groups:
         self.total = self.members.count()
         #: node, n, sketch: a row a distinct set
         first = self.members.where("row = node").select("row")
-        self.nodes = common.cut(marked.select("row", "n", "sketch").join(first, "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch"), "nodes")
+        self.nodes, nodes_path = common.cut_at(marked.select("row", "n", "sketch").join(first, "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch"), "nodes")
         common.drop_table(self.spark, path)
         self.labels = self._linked()
+        common.drop_table(self.spark, nodes_path)
 
     def _linked(self) -> DataFrame:
         """labels (node, label) of all nodes that share a bucket with another."""
         bands = self.nodes.mapInArrow(_bands, "bucket long, node long")
         shared, shared_path = common.cut_at(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         many = F.col("size") * common.OFTEN > self.total
-        buckets = common.cut(common.spread_join(bands, shared, ["bucket"], many, "node"), "buckets")
+        buckets, buckets_path = common.cut_at(common.spread_join(bands, shared, ["bucket"], many, "node"), "buckets")
         common.drop_table(self.spark, shared_path)
         labels = common.cut(buckets.select("node").distinct().withColumn("label", F.col("node")), "labels")
         small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
@@ -345,7 +346,9 @@ class Groups:
         spokes = common.spread_join(large, hubs, ["bucket"], often, "node").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         labels = self._verified(pairs.union(spokes).distinct(), labels)
         common.drop_table(self.spark, hubs_path)
-        return self._settled(large, labels)
+        labels = self._settled(large, labels)
+        common.drop_table(self.spark, buckets_path)
+        return labels
 
     def _verified(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """labels after the links among candidate pairs (a, b)."""
@@ -368,14 +371,21 @@ class Groups:
         return self.rows.select("row", "text").join(common.hinted(wanted, MOST_WANTED), "row", "left_semi")
 
     def _joined(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """labels after the links among pairs (x, y) that their full sets confirm."""
+        """labels after the links among pairs (x, y) that their full sets confirm.
+
+        The pairs of each y are a star. Its texts come together in one task, or, y's with them, in one for every SPOKES: no text travels but to its stars.
+        """
         pairs, path = common.cut_at(pairs, "pairs")
-        wanted, wanted_path = common.cut_at(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "wanted")
-        text = lambda c: self._texts(wanted).select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-        joined = pairs.join(text("x"), "x").join(text("y"), "y").select("x", "y", "text_x", "text_y")
-        links, links_path = common.cut_at(joined.mapInArrow(_verify(self.k, self.percent), "a long, b long"), "links")
+        sizes = pairs.groupBy("y").agg(F.count("*").alias("degree")).withColumn("salts", F.ceil(F.col("degree") / SPOKES).cast("int"))
+        salted = common.spread_join(pairs, sizes, ["y"], F.col("degree") * common.OFTEN > self.total, "x")
+        spokes = salted.select(F.col("x").alias("row"), F.col("y").alias("hub"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("spoke"))
+        hubs = sizes.select(F.col("y").alias("row"), F.col("y").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("spoke"))
+        needed, needed_path = common.cut_at(spokes.union(hubs), "needed")
+        texts = self.rows.select("row", "text").join(common.hinted(needed, MOST_WANTED), "row").select("hub", "salt", "spoke", "row", "text")
+        stars = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
+        links, links_path = common.cut_at(stars.mapInArrow(_verify(self.k, self.percent), "a long, b long"), "links")
         out = labels if links.isEmpty() else contracted(labels, links)
-        for p in (path, wanted_path, links_path):
+        for p in (path, needed_path, links_path):
             common.drop_table(self.spark, p)
         return out
 
@@ -424,7 +434,8 @@ class Groups:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document."""
-    rows = common.cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    row = common.fresh(docs.columns, "row")
+    rows = common.numbered(docs, row).select(F.col(row).alias("row"), "doc_id", "text")
     own = common.cut(Groups(rows, k, percent).components().join(rows.select("row", "doc_id"), "row"), "components")
     first = own.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
     out = common.spread_join(own, first, ["label"], F.col("times") * common.OFTEN > own.count(), "row", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
@@ -434,7 +445,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: that of the smallest doc_id, of equal ones the first row."""
     row = common.fresh(docs.columns, "row")
-    whole = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    whole = common.numbered(docs, row)
     rows = whole.select(F.col(row).alias("row"), "text", "doc_id")
     own = common.cut(Groups(rows, k, percent).components().join(rows.select("row", "doc_id"), "row"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")

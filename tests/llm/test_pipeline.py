@@ -52,4 +52,4 @@ def test_registered():
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
