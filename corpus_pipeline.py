@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        docs, path = common.cut_at(stage(spark, docs, sf_dir), name)
+        if before:
+            common.drop_table(spark, before)  # its successor is written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
