@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locusframe.functions import sequence as S
-from locusframe.operators import similarity
+from locusframe.operators import codes, similarity
 
 from .base import PROTEIN_SQL, registry, rounded, table, texts
 
@@ -86,8 +86,8 @@ SELECT item_id, doc_id, shared, round(shared / (nq + nt - shared), 6) AS jaccard
 WHERE shared / (nq + nt - shared) >= 0.2""")
 def kmer_set_jaccard(spark, sf_dir):
     q, t = _sides(spark, sf_dir)
-    sets = [df.select(key, F.explode(S.kmer_set(F.col("s"))).alias("kmer")) for df, key in ((q, "item_id"), (t, "doc_id"))]
-    found = similarity.shared_sets(*sets, "item_id", "doc_id", "kmer", 0.2)
+    sets = [codes.bitmaps(df, key, F.col("s")) for df, key in ((q, "item_id"), (t, "doc_id"))]
+    found = similarity.shared_bitmaps(*sets, "item_id", "doc_id", 0.2)
     return found.withColumn("jaccard", rounded(F.col("jaccard")))
 
 

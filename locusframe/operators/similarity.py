@@ -1,30 +1,93 @@
 """Similarity joins on k-mers: seeds, diagonals, best segments and best hits.
 
-The index is a table (key, position, k-mer); a search is its equi-join with another one. Counts by diagonal are summed in
-each task before the shuffle, so a frequent k-mer costs rows of the join but no large group.
+The index is a table (key, position, k-mer), k-mers as longs; a search is its equi-join with the k-mers of the queries, which are sent to
+all tasks up to MOST_SENT of them, so that targets are not shuffled. Beyond, k-mers that hold more than one in OFTEN of all rows are dealt to SALTS
+tasks. An index that several searches use is stored once, in buckets by k-mer, heavy ones dealt alike; a search then shuffles its own k-mers only.
+Counts by diagonal are summed in each task before the shuffle, so a frequent k-mer costs rows of the join but no large group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.sequence import kmers
+from . import codes
 
 TOP_DIAGONALS = 3
+#: K-mers of queries that may be broadcast.
+MOST_SENT = 500_000
+#: A k-mer is heavy where it has more than one in OFTEN of the rows; there are fewer than OFTEN of them. Heavy ones are dealt to SALTS tasks.
+OFTEN, SALTS = 1000, 64
 
+index = codes.index
 
-def index(df: DataFrame, key: str, sequence: Column, k: int) -> DataFrame:
-    """key, pos and kmer of all k-mers without an X."""
-    rows = df.select(key, F.posexplode(kmers(sequence, k)).alias("pos", "kmer"))
-    return rows.where(~F.contains("kmer", F.lit("X")))
 
+def _salted(targets: DataFrame, heavy: DataFrame) -> DataFrame:
+    """targets with salt, 0 but for heavy k-mers."""
+    return targets.join(F.broadcast(heavy.select("kmer", F.lit(True).alias("heavy_"))), "kmer", "left").withColumn("salt", F.when(F.col("heavy_"), F.pmod(F.xxhash64(*[c for c in targets.columns if c != "kmer"]), F.lit(SALTS)).cast("int")).otherwise(0)).drop("heavy_")
 
-def diagonals(queries: DataFrame, targets: DataFrame, query: str, target: str) -> DataFrame:
-    """query, target, diagonal (target position less query position) and n, the seeds on it."""
+
+def _copied(queries: DataFrame, heavy: DataFrame) -> DataFrame:
+    """queries with salt, heavy k-mers with each."""
+    every = F.when(F.col("heavy_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return queries.join(F.broadcast(heavy.select("kmer", F.lit(True).alias("heavy_"))), "kmer", "left").withColumn("salt", F.explode(every)).drop("heavy_")
+
+
+def heavy_kmers(targets: DataFrame) -> DataFrame:
+    """kmer of the heavy ones: fewer than OFTEN rows."""
+    counts = targets.groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).where(F.col("n") * OFTEN > F.col("total")).select("kmer")  # one row
+
+
+class StoredIndex:
+    """An index written as a bucketed table, for any number of searches."""
+
+    def __init__(self, spark: SparkSession, name: str, k: int):
+        self.spark, self.name, self.k = spark, name, k
+        self.rows, self.heavy = spark.table(name), spark.table(f"{name}_heavy")
+
+    @staticmethod
+    def store(df: DataFrame, key: str, sequence: Column, k: int, name: str, buckets: int | None = None, alphabet: str = codes.AMINO) -> StoredIndex:
+        """Writes the tables ``name`` and ``name``_heavy of the session's warehouse, which it replaces."""
+        spark = df.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = index(df, key, sequence, k, alphabet)
+        rows.write.mode("overwrite").saveAsTable(f"{name}_rows")
+        written = spark.table(f"{name}_rows")
+        heavy_kmers(written).coalesce(1).write.mode("overwrite").saveAsTable(f"{name}_heavy")
+        dealt = _salted(written, spark.table(f"{name}_heavy")).repartition(n, "kmer", "salt")
+        dealt.write.mode("overwrite").bucketBy(n, "kmer", "salt").sortBy("kmer", "salt").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}_rows")
+        return StoredIndex(spark, name, k)
+
+    def join(self, queries: DataFrame) -> DataFrame:
+        """Rows of the index (with t_pos) and of queries (other columns, kmer) with one k-mer. The index is read in its buckets."""
+        return self.rows.withColumnRenamed("pos", "t_pos").join(_copied(queries, self.heavy), ["kmer", "salt"]).drop("salt")
+
+    def drop(self) -> None:
+        for name in (self.name, f"{self.name}_heavy"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def seeds(queries: DataFrame, targets: DataFrame | StoredIndex) -> DataFrame:
+    """Pairs of rows with one k-mer, places as q_pos and t_pos."""
     q = queries.withColumnRenamed("pos", "q_pos")
-    joined = targets.withColumnRenamed("pos", "t_pos").join(q, "kmer")
-    return joined.groupBy(query, target, (F.col("t_pos") - F.col("q_pos")).cast("long").alias("diagonal")).agg(F.count("*").alias("n"))
+    if isinstance(targets, StoredIndex):
+        return targets.join(q)
+    t = targets.withColumnRenamed("pos", "t_pos")
+    if q.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return t.join(F.broadcast(q), "kmer")
+    heavy = heavy_kmers(t)
+    return _salted(t, heavy).join(_copied(q, heavy), ["kmer", "salt"]).drop("salt")
+
+
+def diagonals(queries: DataFrame, targets: DataFrame | StoredIndex, query: str, target: str) -> DataFrame:
+    """query, target, diagonal (target position less query position) and n, the seeds on it."""
+    return seeds(queries, targets).groupBy(query, target, (F.col("t_pos") - F.col("q_pos")).cast("long").alias("diagonal")).agg(F.count("*").alias("n"))
 
 
 def top_diagonals(found: DataFrame, query: str, target: str, keep: int = TOP_DIAGONALS) -> DataFrame:
@@ -89,6 +152,66 @@ def shared_sets(queries: DataFrame, targets: DataFrame, query: str, target: str,
     return out.where((F.col("jaccard") >= least) & (F.col("shared") > 0))
 
 
+#: Query sets that a task holds at once, and target sets that it is given for them.
+SETS, TARGETS = 256, 4096
+_BOTH = "`query` {q}, `target` {t}, shared long, jaccard double"
+
+
+def _alike(least: float):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, q = [], None, None
+        for batch in rows:
+            words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.uint64)
+            size, of = batch.column("size").to_numpy(), list(zip(batch.column("block").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
+            is_target = batch.column("is_target").to_numpy(zero_copy_only=False)
+            out = []
+            for i in range(batch.num_rows):
+                if of[i] != block:
+                    held, block, q = [], of[i], None
+                if not is_target[i]:
+                    held.append((batch.column("query")[i].as_py(), size[i], words[i].copy()))
+                    continue
+                if q is None:
+                    q = [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])
+                near = np.flatnonzero((q[1] >= least * size[i] - 1e-9) & (size[i] >= least * q[1] - 1e-9))
+                both = np.bitwise_count(q[2][near] & words[i]).sum(axis=1, dtype=np.int64)
+                share = both / np.maximum(q[1][near] + size[i] - both, 1)
+                good = (both > 0) & (share >= least)
+                out += [(q[0][n], i, b, x) for n, b, x in zip(near[good].tolist(), both[good].tolist(), share[good].tolist(), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("query").type), batch.column("target").take(pa.array(cols[1], pa.int64())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], names=["query", "target", "shared", "jaccard"])
+
+    return run
+
+
+def shared_bitmaps(queries: DataFrame, targets: DataFrame, query: str, target: str, least: float = 0.0) -> DataFrame:
+    """query, target, shared and jaccard of sets given as bitmaps (key, size, bits), for pairs with a Jaccard similarity of ``least`` or more (over 0).
+
+    Queries are a stated set: in order of size they are cut into blocks of SETS, and each target meets the blocks with sizes that ``least``
+    allows. A task holds one block and counts the bits in common with one target after another, so nothing is made for a pair but its row.
+    """
+    spark = queries.sparkSession
+    sized = queries.where("size > 0")
+    n = sized.count()
+    if not n:
+        return spark.createDataFrame([], _BOTH.format(q=queries.schema[query].dataType.simpleString(), t=targets.schema[target].dataType.simpleString())).select(F.col("query").alias(query), F.col("target").alias(target), "shared", "jaccard")
+    ends = sized.agg(F.percentile_approx("size", [i * SETS / n for i in range(1, -(-n // SETS))] or [0.5], 10_000).alias("ends")).first().ends if n > SETS else []
+    block = F.lit(0) if not ends else F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("size")))
+    blocks = sized.withColumn("block", block)
+    span = blocks.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high")).collect()  # a row for each SETS queries
+    chunks = max(1, -(-targets.count() // TARGETS))
+    fits = F.array(*[F.when((F.col("size") >= least * r.low - 1e-9) & (F.col("size") * least <= r.high + 1e-9), F.lit(r.block)) for r in span])
+    t = targets.where("size > 0").withColumn("block", F.explode(F.filter(fits, lambda b: b.isNotNull()))).withColumn("chunk", F.pmod(F.xxhash64(target), F.lit(chunks)).cast("int"))
+    q = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    rows = q.select("block", "chunk", F.lit(False).alias("is_target"), F.col(query).alias("query"), none(targets, target).alias("target"), "size", "bits").union(
+        t.select("block", "chunk", F.lit(True), none(queries, query), target, "size", "bits")
+    )
+    dealt = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "is_target", "size")
+    types = _BOTH.format(q=queries.schema[query].dataType.simpleString(), t=targets.schema[target].dataType.simpleString())
+    return dealt.mapInArrow(_alike(least), types).select(F.col("query").alias(query), F.col("target").alias(target), "shared", "jaccard")
+
+
 def bits(raw: Column, gapped_lambda: float = 0.267, k: float = 0.041) -> Column:
     """Bit score of a raw alignment score."""
     return (gapped_lambda * raw - F.log(F.lit(k))) / F.log(F.lit(2.0))

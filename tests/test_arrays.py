@@ -28,13 +28,13 @@ def array(draw, copies, repeat=30, spacer=35, alike=False, changed=0):
 
 
 @pytest.mark.parametrize("strand", [1, -1])
-def test_planted_arrays(strand):
+def test_planted_arrays(spark, strand):
     draw = random.Random(5)
     body = array(draw, 9)
     s = dna(draw, 400) + body + dna(draw, 500)
     if strand < 0:
         s = s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-    found = repeats.arrays_of(s)
+    found = repeats.repeat_arrays(spark.createDataFrame([("c", s)], "contig_id string, dna string")).collect()
     assert len(found) == 1
     x = found[0]
     assert len(x["repeat_positions"]) == 9 and 30 <= len(x["repeat_consensus"]) <= 35 and x["spacer_identity"] < 0.6 and x["repeat_identity"] > 0.88
@@ -42,6 +42,81 @@ def test_planted_arrays(strand):
     assert abs(x["start"] - low) <= 6 and abs(x["end"] - low - len(body)) <= 6
 
 
+def many(draw, n):
+    """Contigs with none to four arrays of all kinds on both strands."""
+    out = []
+    for i in range(n):
+        s = dna(draw, draw.randint(50, 600))
+        for _ in range(draw.randint(0, 4)):
+            s += array(draw, draw.randint(2, 9), draw.randint(16, 58), draw.randint(12, 85), draw.random() < 0.3, draw.randint(0, 3)) + dna(draw, draw.randint(60, 500))
+        out.append((i, s.translate(str.maketrans("ACGT", "TGCA"))[::-1] if draw.random() < 0.5 else s))
+    return out
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("contig_id", "start", "end", "strand", "repeat_consensus", "repeat_positions", "spacers", F.round("spacer_identity", 9)).collect())
+
+
+def test_chunks_give_the_arrays_of_whole_contigs(spark):
+    contigs = many(random.Random(11), 60)
+    apart = [("".join(s + dna(random.Random(i), 300) for i, (_, s) in enumerate(contigs)))]  # one contig of all
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(apart)], "contig_id long, dna string")
+    want = rows_of(repeats.repeat_arrays(df))
+    assert len(want) > 60 and {w[3] for w in want} == {1, -1}
+    for chunk, halo in ((20_000, 2500), (5000, 2500)):
+        assert rows_of(repeats.repeat_arrays(df, chunk, halo)) == want
+    assert repeats.chunked(df, 5000, 2500).count() > 20
+    # seeds are counted over the contig
+    seeds = lambda **k: sorted(map(tuple, repeats.seed_positions(df, **k).collect()))
+    assert seeds(chunk=700) == seeds() and seeds()
+
+
+@pytest.mark.parametrize("strand", [1, -1])
+def test_an_array_longer_than_what_a_task_sees_is_put_together(spark, strand):
+    draw = random.Random(4)
+    body = array(draw, 200)
+    s = dna(draw, 1500) + body + dna(draw, 900)
+    if strand < 0:
+        s = s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    df = spark.createDataFrame([(1, s)], "contig_id long, dna string")
+    want = rows_of(repeats.repeat_arrays(df))
+    assert len(want) == 1 and len(want[0][5]) == 200
+    assert rows_of(repeats.repeat_arrays(df, 3000, 1000)) == want
+
+
+def brute_seeds(contigs, k=14, copies=3):
+    out = []
+    for i, s in contigs:
+        for strand, own in ((1, s), (-1, s.translate(str.maketrans("ACGT", "TGCA"))[::-1])):
+            at = {}
+            for p in range(len(own) - k + 1):
+                at.setdefault(own[p : p + k], []).append(p)
+            out += [(i, strand, kmer, len(p), p[0]) for kmer, p in at.items() if len(p) >= copies]
+    return sorted(out)
+
+
+def test_arrays_do_not_overlap_and_show_what_they_tell(spark):
+    contigs = many(random.Random(13), 40)
+    df = spark.createDataFrame(contigs, "contig_id long, dna string")
+    assert sorted(map(tuple, repeats.seed_positions(df).collect())) == brute_seeds(contigs)
+    text_of, by = dict(contigs), {}
+    for r in repeats.repeat_arrays(df).collect():
+        s = text_of[r.contig_id]
+        own = s if r.strand == 1 else s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        n = r.repeat_length
+        assert 18 <= n <= 60 and r.copy_number >= 3 and all(15 <= x <= 80 for x in r.spacer_lengths)
+        assert [own[a + n : b] for a, b in zip(r.repeat_positions, r.repeat_positions[1:])] == list(r.spacers)
+        for p in r.repeat_positions:
+            assert sum(a != b for a, b in zip(own[p : p + n], r.repeat_consensus, strict=True)) <= 0.5 * n
+        low = r.repeat_positions[0] if r.strand == 1 else len(s) - r.repeat_positions[-1] - n
+        assert (r.start, r.end) == (low, low + r.repeat_positions[-1] - r.repeat_positions[0] + n)
+        by.setdefault(r.contig_id, []).append((r.start, r.end))
+    assert len(by) > 20
+    for spans in by.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_changed_copies_chance_and_tandem(spark):
     draw = random.Random(7)
     cases = {"changed": dna(draw, 300) + array(draw, 10, changed=1) + dna(draw, 300), "chance": dna(draw, 6000), "tandem": dna(draw, 300) + array(draw, 6, alike=True) + dna(draw, 300), "short": "ACG", "empty": ""}
