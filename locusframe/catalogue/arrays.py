@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import motifs
 from locusframe.functions import sequence as S
 from locusframe.operators import locus, motif_sets, repeats
+from locusframe.plans import survey
 
 from . import loci
 from .base import DNA_SQL, PROTEIN_SQL, registry, rounded, table, texts
@@ -32,6 +33,12 @@ def repeat_arrays(spark, sf_dir):
     return out.select("contig_id", "place", "start", "end", "strand", "repeat_consensus", "copy_number", "repeat_length", "class", *[v.alias(k) for k, v in numbers.items()])
 
 
+@query()
+def dna_shuffle_control(spark, sf_dir):
+    """Whether shuffled documents, as contigs, show regular arrays: none should."""
+    return survey.dna_control(_contigs(spark, sf_dir)).select("n", "n_found", "rate", "passed")
+
+
 @query("""WITH o AS (SELECT l_orderkey AS array_id, list(l_quantity::int ORDER BY l_linenumber) AS spacers, count(*) + 1 AS copies, round(avg(l_discount) * 12, 6) AS alike FROM lineitem GROUP BY 1),
 r AS (SELECT *, CASE WHEN len(spacers) < 2 OR list_avg(spacers) = 0 THEN 0.0 ELSE greatest(0.0, 1 - list_stddev_pop(spacers) / list_avg(spacers)) END AS regularity FROM o)
 SELECT array_id, round(regularity, 6) AS regularity, CASE WHEN alike > 0.6 THEN 'tandem-repeat' WHEN copies >= 3 AND regularity > 0.75 THEN 'spacer-array' ELSE 'irregular-repeat' END AS class,
@@ -73,11 +80,19 @@ def motif_set_scan(spark, sf_dir):
     return motif_sets.scan(p, "s").select("item_id", F.size("placed").alias("n_placed"), F.array_join("missing", ",").alias("missing"), "intact", rounded(F.col("completeness")).alias("completeness"), motif_sets.summary().alias("summary"))
 
 
-@query("""SELECT * FROM (VALUES ('[LIVMF]-x-[DN]-[LIVMFYAG]', round(log2(20 / 5) + log2(20 / 2) + log2(20 / 8), 6)), ('[KR]-x(2,4)-[LIVMFYA]-x-[LIVMFYAG]-[KRQ]', round(log2(20 / 2) + log2(20 / 7) + log2(20 / 8) + log2(20 / 3), 6)),
-('[YF]-x-[DN]-[DN]', round(3 * log2(20 / 2), 6)), ('{P}-C(2)-x', round(log2(20 / 19) + 2 * log2(20), 6))) v(pattern, information)""")
+_CLASSES = {a: "".join(b for b, c in zip(*S.REDUCED, strict=True) if c == rep) for a, rep in zip(*S.REDUCED, strict=True)}
+
+
+@query(f"""WITH p AS (SELECT item_id, {PROTEIN_SQL} AS s FROM benchmark), l AS (SELECT item_id, i, substr(s, i::int, 1) AS a FROM p, unnest(range(1, 9)) u(i) WHERE i <= length(s)),
+c(a, n, element) AS (VALUES {", ".join(f"('{a}', {len(c)}, '{c if len(c) == 1 else '[' + c + ']'}')" for a, c in _CLASSES.items())}, ('X', 20, 'x'))
+SELECT item_id, string_agg(element, '-' ORDER BY i) AS pattern, round(sum(log2(20.0 / n)), 6) AS information FROM l JOIN c USING (a) GROUP BY 1""")
 def motif_information(spark, sf_dir):
-    patterns = [m.pattern for m in motif_sets.RT_PALM.motifs[:3]] + ["{P}-C(2)-x"]
-    return spark.createDataFrame([(p, round(motifs.information(p), 6)) for p in patterns], "pattern string, information double")
+    """Each passage's first eight residues as a motif of residue classes, and what it tells."""
+    elements = F.create_map(*[F.lit(x) for a, c in {**_CLASSES, "X": "x"}.items() for x in (a, c if len(c) == 1 else f"[{c}]")])
+    p = texts(spark, sf_dir, "benchmark", "item_id").select("item_id", F.substring(S.text_as_protein(F.col("text")), 1, 8).alias("s")).where("s <> ''")
+    rows = p.select("item_id", F.array_join(F.transform(F.split("s", ""), lambda a: elements[a]), "-").alias("pattern"))
+    return rows.select("item_id", "pattern", rounded(motifs.information_of("pattern")).alias("information"))
+
 
 
 _ARRAYS_SQL = "x AS (SELECT user_id AS contig_id, epoch_us(ts) // 1000000 AS xs, epoch_us(ts) // 1000000 + 600 AS xe, (3 + event_id % 3)::int AS copies, (20 + event_id % 30)::int AS repeat_length, CASE WHEN event_id % 2 = 0 THEN 'spacer-array' ELSE 'tandem-repeat' END AS class FROM events WHERE event_type = 'error')"

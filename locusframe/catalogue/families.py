@@ -63,7 +63,7 @@ def _passages(spark, sf_dir):
 
 def _searched(spark, sf_dir):
     queries = _passages(spark, sf_dir).select(F.col("item_id").alias("query"), F.col("s").alias("q_seq"))
-    return search.sequence_search(queries, _database(spark, sf_dir), K, lambda s: s)
+    return search.sequence_search(queries, _database(spark, sf_dir), K, lambda s: s, keep=None, limit=None)
 
 
 @query()
@@ -77,7 +77,7 @@ def sequence_search(spark, sf_dir):
 def search_funnel(spark, sf_dir):
     """How many documents each step of the search kept for each passage."""
     queries = _passages(spark, sf_dir).select(F.col("item_id").alias("query"))
-    return search.funnel(_searched(spark, sf_dir), queries, table(spark, sf_dir, "documents").count())
+    return search.funnel(_searched(spark, sf_dir), queries, table(spark, sf_dir, "documents"))
 
 
 def _models(spark, sf_dir):
@@ -88,13 +88,13 @@ def _models(spark, sf_dir):
 
 @query()
 def profile_search(spark, sf_dir):
-    found = search.hits(search.profile_search(_models(spark, sf_dir), _database(spark, sf_dir), K, lambda s: s))
+    found = search.hits(search.profile_search(_models(spark, sf_dir), _database(spark, sf_dir), K, lambda s: s, keep=None, limit=None))
     return found.select("query", "target", "place", rounded(F.col("z"), 4).alias("z"), rounded(F.col("core_coverage")).alias("core_coverage"), "alignment.q_start", "alignment.q_end")
 
 
 @query()
 def profile_scan(spark, sf_dir):
-    found = search.hits(search.profile_search(_models(spark, sf_dir), _database(spark, sf_dir), K, lambda s: s, least_z=5.0, align=False))
+    found = search.hits(search.profile_search(_models(spark, sf_dir), _database(spark, sf_dir), K, lambda s: s, least_z=5.0, align=False, keep=None, limit=None))
     return found.select("query", "target", rounded(F.col("z"), 4).alias("z"), rounded(F.col("raw"), 4).alias("raw"))
 
 

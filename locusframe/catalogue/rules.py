@@ -99,3 +99,25 @@ def evidence_strength(spark, sf_dir):
 @query(f"{_C} SELECT k, evidence_key, claimed AS strength, supported FROM s WHERE {_RANK.format('claimed')} > {_RANK.format('supported')}")
 def overclaims(spark, sf_dir):
     return R.overclaims(_claims(spark, sf_dir)).select("k", "evidence_key", "strength", "supported")
+
+
+_EVIDENCE = "[" + ", ".join(f"{{'key': '{k}', 'metric': '{m}', 'measured': {m}::double, 'least': {least if least is not None else 'NULL'}::double}}" for k, (m, least) in R.EVIDENCE.items()) + "]"
+_E = f"""{_M}, x AS (SELECT m.*, unnest({_EVIDENCE}) AS e FROM m), y AS (SELECT *, e.key AS key FROM x WHERE (e.key <> 'array_placement' OR array_quality > 0) AND (e.key <> 'partner_is_known' OR partner_known_neglog_e >= 3)),
+v AS (SELECT k, key AS evidence_key, e.metric AS metric, e.measured AS measured, CASE WHEN key IN ('array_placement', 'partner_is_known') THEN 'strong' ELSE coalesce({_SUPPORT}, 'suggestive') END AS strength,
+CASE key WHEN 'array_placement' THEN e.measured <= 3000 WHEN 'partner_is_known' THEN false ELSE e.measured >= e.least END AS supports FROM y)"""
+
+
+@query(f"{_E} SELECT k, evidence_key, metric, round(measured, 6) AS measured, strength, supports FROM v")
+def evidence_rows(spark, sf_dir):
+    """The evidence of each candidate, a row a kind."""
+    return R.evidence(metrics(spark, sf_dir), "k").withColumn("measured", rounded(F.col("measured")))
+
+
+@query(f"""{_E}, c AS (SELECT k, unnest(['catalytic_core', 'noncoding_component', 'array_placement', 'partner_is_known']) AS evidence_key, list_extract(['absent', 'weak', 'suggestive', 'strong', 'direct'], (k % 5 + 1)::int) AS asserted FROM m),
+h AS (SELECT c.*, coalesce(strength, 'absent') AS held FROM c LEFT JOIN v USING (k, evidence_key)) SELECT k, evidence_key, asserted, held FROM h WHERE {_RANK.format('asserted')} > {_RANK.format('held')}""")
+def asserted_beyond_evidence(spark, sf_dir):
+    """Claims that go beyond the evidence rows, or have none."""
+    m = metrics(spark, sf_dir)
+    keys = F.array(*map(F.lit, ("catalytic_core", "noncoding_component", "array_placement", "partner_is_known")))
+    claims = m.select("k", F.explode(keys).alias("evidence_key"), F.element_at(F.array(*map(F.lit, R.RANKS)), (F.col("k") % 5 + 1).cast("int")).alias("asserted"))
+    return R.asserted_beyond(R.evidence(m, "k"), claims, "k")

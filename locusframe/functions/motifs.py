@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .sequence import AMINO
 
@@ -42,6 +45,13 @@ def information(pattern: str) -> float:
     return sum(low * math.log2(len(AMINO) / len(letters)) for _, letters, low, _, _ in elements(pattern))
 
 
+@F.arrow_udf(DoubleType())
+def information_of(patterns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """information of a column of patterns; null of null."""
+    for column in patterns:
+        yield pa.array([None if p is None else information(p) for p in column.to_pylist()], pa.float64())
+
+
 def found_at(sequence: Column, pattern: str) -> Column:
     """An array with an entry for each place: what matches there, or an empty string. Patterns may be of any length; a place has one match."""
     return F.regexp_extract_all(sequence, F.lit(f"(?s)(?=({to_regex(pattern)})?)."), F.lit(1))

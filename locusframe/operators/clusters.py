@@ -7,7 +7,7 @@ neighbours are decided up to a representative joins it. Rounds are as many as th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.sequence import kmer_set
@@ -59,6 +59,19 @@ def non_redundant(clusters: DataFrame) -> DataFrame:
     return clusters.where("id = representative").select("id")
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with number, their places by order from 1.
+
+    They are sorted in ranges; a row's number is its place in its range and the counts of the ranges before, an array with an entry a range. No task sees all.
+    """
+    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id()))
+    placed = placed.withColumn("range_", F.shiftright("id_", 33))
+    counts = placed.groupBy("range_").agg(F.count("*").alias("n_")).agg(F.collect_list(F.struct("range_", "n_")).alias("counts_"))
+    before = F.aggregate(F.filter("counts_", lambda x: x["range_"] < F.col("range_")), F.lit(0).cast("long"), lambda t, x: t + x["n_"])
+    first = F.shiftleft("range_", 33)
+    return placed.crossJoin(F.broadcast(counts)).withColumn("number", before + F.col("id_") - first + 1).drop("id_", "range_", "counts_")  # one row
+
+
 def unknown_partners(located: DataFrame, proteins: DataFrame, unknown: str = "unk") -> DataFrame:
     """contig_id, anchor_id, gene_id and family of each locus' longest operon neighbour without a label; families are clusters of these, numbered by size, then representative."""
     others = located.select("contig_id", F.col("anchor.gene_id").alias("anchor_id"), F.explode(F.filter("operon", lambda g: (g["label"] == unknown) & (g["gene_id"] != F.col("anchor.gene_id")))).alias("g"))
@@ -66,5 +79,5 @@ def unknown_partners(located: DataFrame, proteins: DataFrame, unknown: str = "un
     records = proteins.join(longest.select("gene_id").distinct(), "gene_id").select(F.col("gene_id").alias("id"), F.col("protein").alias("sequence"))
     found = greedy_clusters(records, identity=0.35, coverage=0.5, jaccard=0.15)
     sizes = found.groupBy("representative").agg(F.count("*").alias("n"))
-    order = sizes.select("representative", F.format_string("unkfam%02d", F.row_number().over(Window.orderBy(F.desc("n"), "representative"))).alias("family"))  # a row a family
+    order = numbered(sizes, F.desc("n"), F.asc("representative")).select("representative", F.format_string("unkfam%02d", F.col("number")).alias("family"))
     return longest.join(found.withColumnRenamed("id", "gene_id"), "gene_id").join(order, "representative").select("contig_id", "anchor_id", "gene_id", "family")

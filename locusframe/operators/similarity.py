@@ -212,7 +212,11 @@ def shared_bitmaps(queries: DataFrame, targets: DataFrame, query: str, target: s
     return dealt.mapInArrow(_alike(least), types).select(F.col("query").alias(query), F.col("target").alias(target), "shared", "jaccard")
 
 
-def bits(raw: Column, gapped_lambda: float = 0.267, k: float = 0.041) -> Column:
+# The statistics of gapped BLOSUM62 scores.
+LAMBDA, KARLIN = 0.267, 0.041
+
+
+def bits(raw: Column, gapped_lambda: float = LAMBDA, k: float = KARLIN) -> Column:
     """Bit score of a raw alignment score."""
     return (gapped_lambda * raw - F.log(F.lit(k))) / F.log(F.lit(2.0))
 

@@ -322,3 +322,30 @@ def overclaims(claims: DataFrame) -> DataFrame:
     """Of claims (evidence_key, strength and the candidate's metrics) those that go beyond strength_for; supported says what holds."""
     rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])
     return claims.withColumn("supported", strength_for(F.col("evidence_key"))).where(rank[F.col("strength")] > rank[F.col("supported")])
+
+
+#: What each kind of evidence rests on, and the least of it that is evidence for a candidate rather than against it.
+EVIDENCE = {
+    "catalytic_core": ("triad_intact", 1.0), "family_membership": ("profile_z", 8.0), "architecture": ("novelty", 0.35), "partner_association": ("partner_conservation", 0.5),
+    "taxonomic_spread": ("n_phyla", 2.0), "noncoding_component": ("array_quality", 0.4), "array_placement": ("array_operon_gap_bp", None), "partner_is_known": ("partner_known_neglog_e", None),
+}
+
+
+def evidence(cands: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """A row a candidate and kind of evidence: evidence_key, metric, measured, strength (what strength_for supports, else suggestive) and supports.
+
+    An array's placement is evidence only where there is an array, and supports within 3000 letters; a described partner speaks against novelty, and has a row only from three orders of magnitude.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("evidence_key"), F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("measured"), F.lit(least).cast("double").alias("least")) for k, (metric, least) in EVIDENCE.items()])
+    rows = cands.withColumn("kinds_", F.explode(kinds)).select("*", "kinds_.*").drop("kinds_")
+    there = (F.col("evidence_key") != "array_placement") | (F.col("array_quality") > 0)
+    there &= (F.col("evidence_key") != "partner_is_known") | (F.col("partner_known_neglog_e") >= 3.0)
+    supports = F.when(F.col("evidence_key") == "array_placement", F.col("measured") <= 3000).when(F.col("evidence_key") == "partner_is_known", False).otherwise(F.col("measured") >= F.col("least"))
+    return rows.where(there).select(key, "evidence_key", "metric", "measured", F.coalesce(strength_for(F.col("evidence_key")), F.lit("suggestive")).alias("strength"), F.coalesce(supports, F.lit(False)).alias("supports"))
+
+
+def asserted_beyond(found: DataFrame, claims: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """Of claims (key, evidence_key, asserted) those stronger than the evidence rows hold, or about what has none (absent)."""
+    rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])
+    both = claims.join(found.select(key, "evidence_key", F.col("strength").alias("held")), [key, "evidence_key"], "left").withColumn("held", F.coalesce("held", F.lit("absent")))
+    return both.where(rank[F.col("asserted")] > rank[F.col("held")]).select(key, "evidence_key", "asserted", "held")

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import spread
-from locusframe.operators import clusters, locus, search
+from locusframe.operators import clusters, locus, repeats, search
 from locusframe.operators.checkpoints import checkpointed
 from locusframe.sources.corpus import Corpus
 
 from . import outcomes
 
 LEAST_Z, LEAST_COVERAGE, LEAST_NOVELTY = 8.0, 0.5, 0.35
+#: Shuffled contigs of a control, and the share of them that may show an array.
+DNA_SHUFFLES, DNA_RATE = 25, 0.04
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,16 @@ def reproduced(loci: DataFrame, expected: DataFrame, targets: DataFrame) -> Data
     return out.withColumn("passed", passed)
 
 
+def dna_control(contigs: DataFrame, n: int = DNA_SHUFFLES, most: float = DNA_RATE) -> DataFrame:
+    """One row for the gate: n shuffled contigs (contig_id, dna), how many show a regular array, the rate, and whether it is low enough.
+
+    A contig's letters are put in an order drawn by a hash, so that its composition stays and every run shuffles alike. n is the control's size.
+    """
+    controls = checkpointed(outcomes.shuffle_controls(contigs.withColumnRenamed("contig_id", "seq_id"), n, F.upper("dna")))
+    found = repeats.repeat_arrays(controls.select(F.col("control").alias("contig_id"), F.col("sequence").alias("dna"))).where((F.col("copy_number") >= repeats.COPIES) & (F.col("regularity") > repeats.REGULAR))
+    return outcomes.false_positive_rate(controls, found.select(F.col("contig_id").alias("control")), most)
+
+
 def gate(reproduced_systems: DataFrame, *controls: DataFrame) -> DataFrame:
     """One row: passed, where at least one system was tried, all of them passed, and so did all controls (rows with passed)."""
     systems = reproduced_systems.agg(F.count("*").alias("n_systems"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"))
