@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusframe.plans import bench
 from locusframe.plans import rubric as R
 
 from .base import registry, rounded, table
@@ -121,3 +122,16 @@ def asserted_beyond_evidence(spark, sf_dir):
     keys = F.array(*map(F.lit, ("catalytic_core", "noncoding_component", "array_placement", "partner_is_known")))
     claims = m.select("k", F.explode(keys).alias("evidence_key"), F.element_at(F.array(*map(F.lit, R.RANKS)), (F.col("k") % 5 + 1).cast("int")).alias("asserted"))
     return R.asserted_beyond(R.evidence(m, "k"), claims, "k")
+
+
+_COMPONENTS = "[" + ", ".join(f"{{'kind': '{c.kind}', 'i': {i}, 'name': '{c.name}', 'holds': {c.rule or 'true'}}}" for i, c in enumerate(bench.COMPONENTS)) + "]"
+
+
+@query(f"""{_V}, p AS (SELECT k, (k % 20)::varchar AS signature, priority FROM v WHERE len(failed) = 0 AND priority >= 0.35), l AS (SELECT signature, arg_min(k, (-round(priority, 5), k)) AS k, count(*) AS n FROM p GROUP BY 1),
+x AS (SELECT l.k, signature, n, unnest({_COMPONENTS}) AS c FROM l JOIN m USING (k))
+SELECT k, signature, n, c.kind AS kind, row_number() OVER (PARTITION BY k, c.kind ORDER BY c.i)::int AS place, c.name AS name FROM x WHERE c.holds""")
+def package_components(spark, sf_dir):
+    """What the packages of candidates that pass all gates hand to the bench; the twentieth parts of the numbers stand in for architectures."""
+    judged = _applied(spark, sf_dir).where("disposition in ('promote', 'hold')").select(F.col("k").alias("candidate_id"), F.lit("promote").alias("disposition"), rounded(F.col("priority"), 5).alias("priority"))
+    cands = metrics(spark, sf_dir).withColumnRenamed("k", "candidate_id").withColumn("group_signature", (F.col("candidate_id") % 20).cast("string")).withColumn("core_architecture", F.lit(""))
+    return bench.packages(cands, judged).select(F.col("candidate_id").alias("k"), "signature", "n", "kind", "place", "name")
