@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         given = context.getConf().get("spark.checkpoint.dir")
-        if not given and not context.master.startswith("local"):
+        if not given and not re.match(r"local(\[|$)", context.master):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="locusframe-"))
     return df.checkpoint()
