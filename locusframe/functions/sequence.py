@@ -29,7 +29,7 @@ def clean_protein(s: Column) -> Column:
 
 def text_as_protein(s: Column) -> Column:
     """The letters of a text as residues: letters that are none become X, all else is dropped."""
-    return F.translate(F.upper(F.regexp_replace(s, "[^A-Za-z]", "")), "BJOUXZ", "XXXXXX")
+    return F.regexp_replace(F.upper(F.regexp_replace(s, "[^A-Za-z]+", "")), "[BJOUXZ]", "X")
 
 
 def text_as_dna(s: Column) -> Column:

@@ -67,7 +67,8 @@ def _with_models(models: DataFrame, pairs: DataFrame, run: Callable[[_Model, lis
     blocks = pairs.groupBy("query").agg((F.max("block") + 1).alias("n"))
     heads = models.join(blocks, "query").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     dealt = pairs.withColumn("is_pair", F.lit(True)).unionByName(heads.withColumn("is_pair", F.lit(False)), allowMissingColumns=True)
-    dealt = dealt.repartition("query", "block").sortWithinPartitions("query", "block", "is_pair")
+    # a fixed number of tasks: few bytes may be much work, so that small partitions are not to be put together
+    dealt = dealt.repartition(similarity.tasks(pairs.sparkSession), "query", "block").sortWithinPartitions("query", "block", "is_pair")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None

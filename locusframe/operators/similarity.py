@@ -26,6 +26,11 @@ OFTEN, SALTS = 1000, 64
 index = codes.index
 
 
+def tasks(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _salted(targets: DataFrame, heavy: DataFrame) -> DataFrame:
     """targets with salt, 0 but for heavy k-mers."""
     return targets.join(F.broadcast(heavy.select("kmer", F.lit(True).alias("heavy_"))), "kmer", "left").withColumn("salt", F.when(F.col("heavy_"), F.pmod(F.xxhash64(*[c for c in targets.columns if c != "kmer"]), F.lit(SALTS)).cast("int")).otherwise(0)).drop("heavy_")
@@ -54,7 +59,7 @@ class StoredIndex:
     def store(df: DataFrame, key: str, sequence: Column, k: int, name: str, buckets: int | None = None, alphabet: str = codes.AMINO) -> StoredIndex:
         """Writes the tables ``name`` and ``name``_heavy of the session's warehouse, which it replaces."""
         spark = df.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or tasks(spark)
         rows = index(df, key, sequence, k, alphabet)
         rows.write.mode("overwrite").saveAsTable(f"{name}_rows")
         written = spark.table(f"{name}_rows")
@@ -153,7 +158,7 @@ def shared_sets(queries: DataFrame, targets: DataFrame, query: str, target: str,
 
 
 #: Query sets that a task holds at once, and target sets that it is given for them.
-SETS, TARGETS = 256, 4096
+SETS, TARGETS = 256, 1024
 _BOTH = "`query` {q}, `target` {t}, shared long, jaccard double"
 
 
@@ -207,7 +212,7 @@ def shared_bitmaps(queries: DataFrame, targets: DataFrame, query: str, target: s
     rows = q.select("block", "chunk", F.lit(False).alias("is_target"), F.col(query).alias("query"), none(targets, target).alias("target"), "size", "bits").union(
         t.select("block", "chunk", F.lit(True), none(queries, query), target, "size", "bits")
     )
-    dealt = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "is_target", "size")
+    dealt = rows.repartition(tasks(spark), "block", "chunk").sortWithinPartitions("block", "chunk", "is_target", "size")
     types = _BOTH.format(q=queries.schema[query].dataType.simpleString(), t=targets.schema[target].dataType.simpleString())
     return dealt.mapInArrow(_alike(least), types).select(F.col("query").alias(query), F.col("target").alias(target), "shared", "jaccard")
 
