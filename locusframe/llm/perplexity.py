@@ -47,7 +47,8 @@ BELOW, ABOVE = 3.5, 5.25
 LEAST_SPREAD = 0.02
 #: Steps of a log perplexity of 1 that the quartiles are counted in.
 GRID = 500
-_MOST_COUNTED = 1_500_000
+#: Units of text that a pass counts or scores (a longer text is a pass of its own), grams that are looked up at once, and distinct grams that a task holds.
+CHUNK_UNITS, LOOKED_UP, _MOST_COUNTED = 1 << 19, 1 << 17, 1_000_000
 SYMBOLS = b"#*$%&|<>"
 
 MODEL = "lang string, size int, kind string, key long, value double"
@@ -83,13 +84,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[str]]]:
-    """(language, row numbers, texts) of a batch, about CHUNK_BYTES of text each."""
+    """(language, row numbers, texts) of a batch, about CHUNK_UNITS of text each."""
     langs = [x or "" for x in batch.column("lang").to_pylist()]
     texts = [x or "" for x in batch.column("text").to_pylist()]
     order = sorted(range(len(langs)), key=lambda i: langs[i])
     held, size = [], 0
     for i in order:
-        if held and (langs[held[0]] != langs[i] or size + len(texts[i]) > common.CHUNK_BYTES):
+        if held and (langs[held[0]] != langs[i] or size + len(texts[i]) > CHUNK_UNITS):
             yield langs[held[0]], held, [texts[k] for k in held]
             held, size = [], 0
         held.append(i)
@@ -210,6 +211,9 @@ class Arrays:
 
     def log_p(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """log p of each gram: of its longest known suffix, with the weights of the contexts left behind."""
+        return np.concatenate([self._log_p(lang, keys[i : i + LOOKED_UP]) for i in range(0, len(keys), LOOKED_UP)] or [np.zeros(0)])
+
+    def _log_p(self, lang: str, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         todo = np.arange(len(keys))
         for size in range(ORDER, 0, -1):
