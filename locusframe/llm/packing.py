@@ -35,8 +35,8 @@ WINDOW_TOKENS = 1_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections and attention of a layer, up to a factor).
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END_ID = 1
-#: Runs of text of which an encoder keeps the ids in a generation, about (some 60 bytes each).
-MOST_KEPT = 1_000_000
+#: Runs of text of which an encoder keeps the ids in a generation, about (some 60 bytes each), and bytes of text that it splits at once.
+MOST_KEPT, SPLIT_BYTES = 300_000, 1 << 18
 
 
 def cost(n: int) -> float:
@@ -259,7 +259,7 @@ def _packer(path: str, capacity: int, end_id: int, digests: bool):
 
         for b in (whole.slice(i, 1024) for whole in rows for i in range(0, whole.num_rows, 1024)):
             docs, texts = b.column("doc_id").to_pylist(), common.as_bytes(b.column("text"))
-            for i, j in common.batches(texts):
+            for i, j in common.batches(texts, SPLIT_BYTES):
                 for doc, ids in zip(docs[i:j], enc.encode(texts[i:j]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     full = len(ids) // capacity * capacity

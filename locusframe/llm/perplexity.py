@@ -238,7 +238,7 @@ _SYMBOL[list(SYMBOLS)] = 1
 def base_features(texts: list[bytes]) -> np.ndarray:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     out = np.zeros((len(texts), 5), dtype=np.int64)
-    for i, j in common.batches(texts):
+    for i, j in common.batches(texts, CHUNK_UNITS):
         words = common.Words(texts[i:j])
         lead = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
         chars = np.concatenate([[0], np.cumsum(lead[words.ends] - lead[words.starts])])
