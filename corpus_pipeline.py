@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as
-Parquet and read again as the next one's docs. All but the last keep the columns of documents.
+Parquet and read again as the next one's docs. All but the last keep the columns of documents. Stages bound the Arrow batches
+of the session by bytes, so that Python workers and the JVM's buffers stay small however long the texts are.
 """
 
 from __future__ import annotations
@@ -15,26 +16,31 @@ from locusframe.llm import common, near_dup, ordinal, packing, perplexity, secre
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade is high enough."""
+    common.small_batches(spark)
     return ordinal.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
+    common.small_batches(spark)
     return perplexity.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    common.small_batches(spark)
     return near_dup.deduplicate(docs, k=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets replaced by their kinds."""
+    common.small_batches(spark)
     return secrets.redact(docs)
 
 
 def cost_balanced_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    common.small_batches(spark)
     return packing.pack(docs, packing.default_tokenizer())
 
 

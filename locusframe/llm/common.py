@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to Python: several columns of it are held at once, by the JVM too.
+BATCH_BYTES = 4 << 20
 #: The white space that ends a word, as in ``[^\x20\x09-\x0D]+``.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -51,6 +53,13 @@ def drop_table(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, where they are not smaller yet; a longer text is a batch of its own."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting)) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage ends there and a lost executor costs nothing."""
     return cut_at(df, name)[0]

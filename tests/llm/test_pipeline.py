@@ -53,3 +53,20 @@ def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    setting, texts = "spark.sql.execution.arrow.maxBytesPerBatch", ["x" * 500_000] * 40 + [None, "", "y" * (common.BATCH_BYTES * 2)]
+    before = spark.conf.get(setting)
+    try:
+        for given, stays in ((str(common.BATCH_BYTES * 4), False), ("64m", False), ("1k", True), ("1000", True)):
+            spark.conf.set(setting, given)
+            common.small_batches(spark)
+            assert spark.conf.get(setting) == (given if stays else str(common.BATCH_BYTES))
+        spark.conf.set(setting, before)
+        common.small_batches(spark)
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        sizes = docs.mapInArrow(lambda rows: (b.slice(0, 0).from_pydict({"n": [b.num_rows]}) for b in rows), "n long").collect()
+        assert sum(r.n for r in sizes) == len(texts) and max(r.n for r in sizes) <= 10
+    finally:
+        spark.conf.set(setting, before)
