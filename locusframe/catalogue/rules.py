@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locusframe.plans import bench
+from locusframe.plans import bench, outcomes, revision
 from locusframe.plans import rubric as R
 
 from .base import registry, rounded, table
@@ -135,3 +135,31 @@ def package_components(spark, sf_dir):
     judged = _applied(spark, sf_dir).where("disposition in ('promote', 'hold')").select(F.col("k").alias("candidate_id"), F.lit("promote").alias("disposition"), rounded(F.col("priority"), 5).alias("priority"))
     cands = metrics(spark, sf_dir).withColumnRenamed("k", "candidate_id").withColumn("group_signature", (F.col("candidate_id") % 20).cast("string")).withColumn("core_architecture", F.lit(""))
     return bench.packages(cands, judged).select(F.col("candidate_id").alias("k"), "signature", "n", "kind", "place", "name")
+
+
+# Metrics that no rule of the rubric names, and which ones are tried.
+_UNNAMED = {"anchor_aa": "(k % 29) * 20.0", "free_share": "(28 - k % 29) / 28.0", "paired": "k % 29 >= 12"}
+_TRIED = (*_UNNAMED, "novelty", "profile_z", "array_quality")
+_OUTSIDE = "k % 29 >= 15"
+_TRIED_SQL = "[" + ", ".join(f"{{'feature': '{f}', 'value': ({_UNNAMED.get(f, f)})::double}}" for f in _TRIED) + "]"
+
+
+@query(f"""{_V}{_C[len(_M):]}, j AS (SELECT k, CASE WHEN k % 2 = 0 THEN {_OUTSIDE} ELSE len(failed) = 0 AND priority >= 0.55 END AS promoted FROM v), t AS (SELECT count(*) AS total FROM v),
+l AS (SELECT promoted, unnest({_TRIED_SQL}) AS x FROM m JOIN j USING (k)), r AS (SELECT promoted, x.feature AS feature, x.value AS value, rank() OVER (PARTITION BY x.feature ORDER BY x.value) + (count(*) OVER (PARTITION BY x.feature, x.value) - 1) / 2.0 AS place FROM l),
+a AS (SELECT feature, count(*) FILTER (promoted) AS p, count(*) FILTER (NOT promoted) AS n, sum(place) FILTER (promoted) AS ranks FROM r GROUP BY 1), b AS (SELECT feature, p + n AS n, round((ranks - p * (p + 1) / 2.0) / (p * n), 4) AS auroc FROM a WHERE p >= 2 AND n >= 2),
+g AS (SELECT unnest([{', '.join(f"'{g}'" for g in _GATES)}]) AS gate), f AS (SELECT unnest(failed) AS gate, count(*) AS n FROM v GROUP BY 1), h AS (SELECT gate, coalesce(n, 0) AS n FROM g LEFT JOIN f USING (gate)),
+o AS (SELECT evidence_key, count(*) AS n FROM s WHERE {_RANK.format('claimed')} > {_RANK.format('supported')} GROUP BY 1), q AS (SELECT evidence_key, n FROM o, t WHERE n >= greatest(2, total // 10) ORDER BY n DESC, evidence_key LIMIT 3)
+SELECT CASE WHEN feature IN ({', '.join(f"'{f}'" for f in _UNNAMED)}) THEN 'add_score' ELSE 'reweight' END AS kind, feature AS target, 'external' AS basis, feature IN ({', '.join(f"'{f}'" for f in _UNNAMED)}) AND total >= 8 AS applied, auroc, n FROM b, t WHERE greatest(auroc, 1 - auroc) >= 0.7
+UNION ALL SELECT CASE WHEN n = 0 THEN 'retire_gate' ELSE 'loosen_gate' END, gate, 'structural', false, NULL, n FROM h, t WHERE n = 0 OR n >= total UNION ALL SELECT 'guidance', evidence_key, 'structural', true, NULL, n FROM q""")
+def rubric_revision(spark, sf_dir):
+    """What to change in the rubric after a survey of all parts: half of them have labels from outside."""
+    rubric = R.default_rubric()
+    m = metrics(spark, sf_dir).selectExpr("*", *[f"{v} AS {c}" for c, v in _UNNAMED.items()])
+    claimed = R.overclaims(_claims(spark, sf_dir)).groupBy("k").agg(F.collect_list(F.concat("evidence_key", F.lit(": asserted as "), "strength")).alias("overclaims"))
+    judged = rubric.apply(m).join(claimed, "k", "left").withColumnRenamed("k", "candidate_id")
+    label = F.when(F.expr(_OUTSIDE), "promote").otherwise("set_aside")
+    labels = m.where("k % 2 = 0").select(F.col("k").alias("candidate_id"), label.alias("label"))
+    cands, verdicts = judged.select("candidate_id", *_TRIED), judged.select("candidate_id", "disposition", "failed_gates", "overclaims")
+    rows = outcomes.collected(cands, verdicts, labels)
+    found = revision.proposed(rows, outcomes.separation(rows, list(_TRIED), revision.known_metrics(rubric)), rubric, external=True)
+    return found.select("kind", "target", "basis", "applied", "auroc", "n")

@@ -104,10 +104,10 @@ def separation(rows: DataFrame, metrics: list[str], known: list[str] = (), least
 def proposals(separated: DataFrame, gates: DataFrame, n_rows: int, external: bool, least_auroc: float = LEAST_AUROC) -> DataFrame:
     """What to change in a rubric: kind, target and basis. Metrics that separate and are not in it are to be added, gates (gate, n) that never or always fire looked at.
 
-    The basis is ``external`` where outside labels were used, ``structural`` for what follows from the gates alone, else ``circular``.
+    The basis is ``external`` where outside labels were used, ``structural`` for what follows from the gates or from a metric that no rule names, else ``circular``.
     """
     strong = F.greatest(F.col("auroc"), 1 - F.col("auroc")) >= least_auroc
-    add = separated.where(strong & ~F.col("in_rubric")).select(F.lit("add_score").alias("kind"), F.col("feature").alias("target"), F.lit("external" if external else "circular").alias("basis"))
+    add = separated.where(strong & ~F.col("in_rubric")).select(F.lit("add_score").alias("kind"), F.col("feature").alias("target"), F.lit("external" if external else "structural").alias("basis"))
     weigh = separated.where(strong & F.col("in_rubric")).select(F.lit("reweight").alias("kind"), F.col("feature").alias("target"), F.lit("external" if external else "circular").alias("basis"))
     kind = F.when(F.col("n") == 0, "retire_gate").when(F.col("n") >= n_rows, "loosen_gate")
     return add.union(weigh).union(gates.select(kind.alias("kind"), F.col("gate").alias("target"), F.lit("structural").alias("basis")).where("kind is not null"))
