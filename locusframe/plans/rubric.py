@@ -345,7 +345,10 @@ def evidence(cands: DataFrame, key: str = "candidate_id") -> DataFrame:
 
 
 def asserted_beyond(found: DataFrame, claims: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """Of claims (key, evidence_key, asserted) those stronger than the evidence rows hold, or about what has none (absent)."""
+    """Of claims (key, evidence_key, asserted) those stronger than the evidence rows hold, or about what has none (absent).
+
+    Both sides have several rows a candidate, which Spark's estimate from the files does not count: neither is broadcast.
+    """
     rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])
-    both = claims.join(found.select(key, "evidence_key", F.col("strength").alias("held")), [key, "evidence_key"], "left").withColumn("held", F.coalesce("held", F.lit("absent")))
+    both = claims.join(found.select(key, "evidence_key", F.col("strength").alias("held")).hint("merge"), [key, "evidence_key"], "left").withColumn("held", F.coalesce("held", F.lit("absent")))
     return both.where(rank[F.col("asserted")] > rank[F.col("held")]).select(key, "evidence_key", "asserted", "held")

@@ -101,6 +101,14 @@ def test_evidence_and_what_goes_beyond_it(spark):
     assert {(r.evidence_key, r.held) for r in rubric.asserted_beyond(rubric.evidence(df), claims).collect()} == {("partner_association", "weak"), ("array_placement", "absent")}
 
 
+def test_evidence_of_many_candidates_is_not_broadcast(spark, tmp_path):
+    from locusframe.catalogue import rules
+
+    spark.range(40_000).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    plan = rules.asserted_beyond_evidence(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_packages_have_what_their_metrics_ask_for(spark):
     rows = [("a", "x", 0.9, 0.9), ("b", "x", 0.1, 0.0), ("c", "y", 0.4, None), ("d", "z", 0.0, 0.0)]
     cands = spark.createDataFrame(rows, "candidate_id string, group_signature string, partner_conservation double, array_quality double").withColumn("core_architecture", F.lit(""))
