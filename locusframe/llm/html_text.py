@@ -3,7 +3,9 @@
 Pages become sequences of structural tokens: a token is an element with its names and the structural elements
 around it. Over the pages of a host, a token's occurrence vector says how often each page has it; tokens
 with one vector form an equivalence class (kept as a mergeable fingerprint, so no host's pages ever meet in one task).
-The class that occurs once in every page is the root of the host's template; classes that occur once in each of fewer pages
+The class that occurs once in every page is the root of the host's template, in the order that all pages have; a token that breaks it is left out of it.
+Occurrences of other tokens are told apart by the gap of the root they stand in, which gives them roles of their own, with vectors and classes of their own;
+roles that are once in every page join the root, which divides the gaps anew, until no host's root grows. Classes that occur once in each of fewer pages
 nest below the template tokens that enclose them. A template token that holds other elements is a slot, with the text that no
 slot within it holds. A slot whose text does not vary between the host's pages is template and dropped, but one in an article or main element only
 on the word of FEW pages at least; names are a hint: they mark noise, and of a page's varying slots those in articles and in main
@@ -21,8 +23,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,10 +78,15 @@ def _element(tag: str, attributes: str) -> str:
     return ".".join([tag, *names])
 
 
-def blocks(page: str, opened: Counter | None = None) -> list[tuple[str, str]]:
-    """(path, text) of each block in page order; a path is the structural elements around it, outermost first. opened counts the elements by path."""
+def blocks(page: str, opened: Counter | None = None, sequence: list[str] | None = None, around: list[list[int]] | None = None) -> list[tuple[str, str]]:
+    """(path, text) of each block in page order; a path is the structural elements around it, outermost first.
+
+    opened counts the elements by path; sequence gets their paths as they open, around the places there of the elements around each block.
+    """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # tag, path so far
+    places: list[int] = []  # of the elements in stack
+    n_opened = 0
     held: Counter[str] = Counter()  # of the tags in stack
     beyond: Counter[str] = Counter()  # of the tags that are open beyond DEPTH
     parts: list[str] = []
@@ -90,9 +98,12 @@ def blocks(page: str, opened: Counter | None = None) -> list[tuple[str, str]]:
             parts.clear()
             if text:
                 out.append((stack[-1][1] if stack else "", text))
+                if around is not None:
+                    around.append(places.copy())
 
     def close() -> str:
         tag = stack.pop()[0]
+        places.pop()
         held[tag] -= 1
         return tag
 
@@ -133,8 +144,12 @@ def blocks(page: str, opened: Counter | None = None) -> list[tuple[str, str]]:
                 continue
             stack.append((tag, f"{stack[-1][1] if stack else ''}/{_element(tag, m[3])}"))
             held[tag] += 1
+            places.append(n_opened)
+            n_opened += 1
             if opened is not None:
                 opened[stack[-1][1]] += 1
+            if sequence is not None:
+                sequence.append(stack[-1][1])
     if at < len(page):
         parts.append(page[at:])
     end_block()
@@ -183,8 +198,9 @@ def home(path: str) -> str:
     return "".join(f"/{e}" for e in elements[:at]) + "/"
 
 
-TOKENS = "page_id long, url string, host string, page_hash long, blocks array<struct<path:string, region:string, home:string, text:string>>, opened array<struct<path:string, n:long>>"
-_BLOCK_TYPE = pa.list_(pa.struct([("path", pa.string()), ("region", pa.string()), ("home", pa.string()), ("text", pa.string())]))
+#: A block's around are the places, in the page's sequence, of the elements that make its home.
+TOKENS = "page_id long, url string, host string, page_hash long, blocks array<struct<path:string, region:string, home:string, text:string, around:array<int>>>, opened array<struct<path:string, n:long>>, sequence array<string>"
+_BLOCK_TYPE = pa.list_(pa.struct([("path", pa.string()), ("region", pa.string()), ("home", pa.string()), ("text", pa.string()), ("around", pa.list_(pa.int32()))]))
 _OPENED_TYPE = pa.list_(pa.struct([("path", pa.string()), ("n", pa.int64())]))
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -210,24 +226,25 @@ def _tokens(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         for i in range(0, n, 256):
             part = batch.slice(i, 256)
-            found, hashes, elements = [], [], []
+            found, hashes, elements, sequences = [], [], [], []
             for page in part.column("html").to_pylist():
                 page = page or ""
-                own, opened = [], Counter()
-                for path, text in blocks(page, opened):
+                own, opened, sequence, around = [], Counter(), [], []
+                for (path, text), places in zip(blocks(page, opened, sequence, around), around, strict=False):
                     if path not in known:
                         if len(known) > 50_000:
                             known.clear()
                         known[path] = region(path), home(path)
-                    own.append({"path": path, "region": known[path][0], "home": known[path][1], "text": text})
+                    own.append({"path": path, "region": known[path][0], "home": known[path][1], "text": text, "around": places[: known[path][1].count("/") - 1]})
                 found.append(own)
+                sequences.append(sequence)
                 elements.append([{"path": k, "n": n} for k, n in opened.items()])
                 raw = "\n".join(f"{b['home']}\t{b['text']}" for b in compared(own)).encode("utf-8", "surrogatepass")
                 hashes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True))
             urls = part.column("url").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id").cast(pa.int64()), pa.array(urls, pa.string()), pa.array(map(host_of, urls), pa.string()), pa.array(hashes, pa.int64()), pa.array(found, _BLOCK_TYPE), pa.array(elements, _OPENED_TYPE)],
-                names=["page_id", "url", "host", "page_hash", "blocks", "opened"],
+                [part.column("page_id").cast(pa.int64()), pa.array(urls, pa.string()), pa.array(map(host_of, urls), pa.string()), pa.array(hashes, pa.int64()), pa.array(found, _BLOCK_TYPE), pa.array(elements, _OPENED_TYPE), pa.array(sequences, pa.list_(pa.string()))],
+                names=["page_id", "url", "host", "page_hash", "blocks", "opened", "sequence"],
             )
 
 
@@ -259,30 +276,123 @@ def template(classes: DataFrame) -> DataFrame:
     return classes.where(once & F.regexp_extract("path", "([^/.]+)[^/]*$", 1).isin(*SLOT_TAGS)).select("host", F.concat("path", F.lit("/")).alias("slot"), "fingerprint", "in_root")
 
 
-def _of_host(rows: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
-    """A row a host with its slots, the innermost first (as many as template() allows), and its number of pages, copies included."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.length("slot").alias("depth"), *columns)), asc=False)
-    sizes = tokens.groupBy("host").agg(F.count("*").alias("rows_"))
-    return rows.groupBy("host").agg(ordered.alias("slots"), F.count("*").alias("many_")).join(sizes, "host")
+# ---- Roles
+
+
+def roles(sequence: list[str], rounds: list[set[str]]) -> list[str]:
+    """The tokens of a page as roles: in each round, what is not of the root is told apart by the root's token that opened last before it."""
+    for root in rounds:
+        last, out = None, []
+        for role in sequence:
+            if role in root:
+                last = role
+            elif last is not None:
+                role = f"{role.split('.@', 1)[0]}.@{zlib.crc32(last.encode('utf-8', 'surrogatepass')):08x}"
+            out.append(role)
+        sequence = out
+    return sequence
+
+
+def _each_page(rows: DataFrame, kept: list[str], run: Callable[[dict, list[set[str]]], dict], added: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """rows (with rounds, the root of their host after each round, and slots) with the kept columns and those that run makes of a page's row."""
+    schema = rows.schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[set[str]]] = {}
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                part, out = whole.slice(i, 256), []
+                for row in part.select([c for c in part.schema.names if c not in ("page_id", "url")]).to_pylist():
+                    if row["host"] not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[row["host"]] = [set(r) for r in row["rounds"] or []]
+                    out.append(run(row, known[row["host"]]))
+                cols = [part.column(c) for c in kept] + [pa.array([x[n] for x in out], t) for n, t, _ in added]
+                yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(n for n, _, _ in added)])
+
+    return rows.mapInArrow(each, ", ".join([f"{c} {schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {t}" for n, _, t in added]))
+
+
+def _counted(row: dict, rounds: list[set[str]]) -> dict:
+    own = roles(row["sequence"], rounds)
+    root = rounds[-1] if rounds else set()
+    return {"opened": [{"path": k, "n": n} for k, n in Counter(own).items()], "ranks": [{"path": role, "rank": rank} for rank, role in enumerate(r for r in own if r in root)]}
 
 
-def _with_slots(rows: DataFrame, table: DataFrame, total: int, by: str, how: str) -> DataFrame:
-    """rows with the slots of their hosts (a table of _of_host): broadcast up to MOST_SLOTS of them, else joined, large hosts dealt to several tasks."""
+_RANKS = pa.list_(pa.struct([("path", pa.string()), ("rank", pa.int32())]))
+_COUNTED = [("opened", _OPENED_TYPE, "array<struct<path:string, n:long>>"), ("ranks", _RANKS, "array<struct<path:string, rank:int>>")]
+
+
+def _sized(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A row a host with rounds, its number of tokens in them (many_) and of pages, copies included (rows_)."""
+    return rows.join(tokens.groupBy("host").agg(F.count("*").alias("rows_")), "host")
+
+
+def differentiated(tokens: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of roles, and host, rounds, many_ and rows_: the root of each host with several pages after each round.
+
+    A token of the root class whose place among them is not the same in all pages breaks their order and is left out. A round is
+    added as long as some host's root grows, and each adds a role of its pages at least.
+    """
+    classes = common.cut(equivalence_classes(tokens), "classes")
+    rounds, before = None, 0
+    while True:
+        root = classes.where("in_root and host_pages >= 2").groupBy("host").agg(F.collect_list("path").alias("root"))  # as many as one page has
+        found = root.select("host", "root") if rounds is None else root.join(rounds.select("host", "rounds"), "host", "full")
+        tried = F.array(F.col("root")) if rounds is None else F.concat(F.coalesce("rounds", F.array().cast("array<array<string>>")), F.array(F.coalesce("root", F.array().cast("array<string>"))))
+        next_ = common.cut(_sized(found.select("host", tried.alias("rounds")).withColumn("many_", F.size(F.flatten("rounds"))), tokens), "tried")
+        seen = _each_page(_with_slots(tokens.select("host", "page_hash", "sequence"), next_, total, "page_hash", "inner", "rounds"), ["host", "page_hash"], _counted, _COUNTED)
+        ordered = seen.select("host", F.explode("ranks").alias("r")).groupBy("host", "r.path").agg((F.min("r.rank") == F.max("r.rank")).alias("steady")).where("steady")
+        steady = ordered.groupBy("host").agg(F.collect_list("path").alias("root"))
+        last = F.slice("rounds", 1, F.size("rounds") - 1)
+        rounds = next_.join(steady, "host", "left").select("host", F.concat(last, F.array(F.coalesce("root", F.array().cast("array<string>")))).alias("rounds"), "rows_")
+        rounds = common.cut(rounds.withColumn("many_", F.size(F.flatten("rounds"))), "rounds")
+        size = rounds.agg(F.sum(F.size(F.element_at("rounds", -1)))).first()[0] or 0
+        if size <= before:
+            return classes, rounds
+        before = size
+        told = _each_page(_with_slots(tokens.select("host", "page_hash", "sequence"), rounds, total, "page_hash", "left", "rounds"), ["host", "page_hash"], _counted, _COUNTED)
+        classes = common.cut(equivalence_classes(told), "classes")
+
+
+# ---- Slots
+
+
+def _of_host(rows: DataFrame, rounds: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
+    """A row a host with its rounds and slots (as many as template() allows), and its number of pages, copies included."""
+    own = rows.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("slots"))
+    both = own.join(rounds.select("host", "rounds"), "host", "left")
+    return _sized(both.withColumn("many_", F.size("slots") + F.coalesce(F.size(F.flatten("rounds")), F.lit(0))), tokens)
+
+
+def _with_slots(rows: DataFrame, table: DataFrame, total: int, by: str, how: str, *columns: str) -> DataFrame:
+    """rows with columns of their hosts (a table of _of_host or rounds): broadcast up to MOST_SLOTS tokens, else joined, large hosts dealt to several tasks."""
     if (table.agg(F.sum("many_")).first()[0] or 0) <= MOST_SLOTS:
-        return rows.join(F.broadcast(table.select("host", "slots")), "host", how)
-    return common.spread_join(rows, table.select("host", "slots", "rows_"), ["host"], F.col("rows_") * common.OFTEN > total, by, how).drop("rows_")
+        return rows.join(F.broadcast(table.select("host", *columns)), "host", how)
+    return common.spread_join(rows, table.select("host", *columns, "rows_"), ["host"], F.col("rows_") * common.OFTEN > total, by, how).drop("rows_")
+
+
+def _placed(row: dict, rounds: list[set[str]]) -> dict:
+    own, slots = roles(row["sequence"], rounds), {x["slot"]: x for x in row["slots"] or []}
+    for b in row["blocks"]:
+        b["slot"] = next((slot for at in reversed(b["around"]) if (slot := own[at] + "/") in slots), None)
+        b["varies"] = slots[b["slot"]].get("content", True) if b["slot"] else True
+    return {"placed": row["blocks"]}
+
+
+_PLACED = [("placed", pa.list_(pa.struct([("region", pa.string()), ("home", pa.string()), ("text", pa.string()), ("slot", pa.string()), ("varies", pa.bool_())])), "array<struct<region:string, home:string, text:string, slot:string, varies:boolean>>")]
 
 
-def slot_roles(tokens: DataFrame, total: int) -> DataFrame:
-    """host, slot and content: whether the slot's text varies between the host's pages.
+def slot_roles(tokens: DataFrame, slots: DataFrame, rounds: DataFrame, total: int) -> DataFrame:
+    """host, slot and content: whether the slot's text varies between the host's pages. slots: those of template().
 
     A slot has the text of the blocks that lie in it and in no slot within it, compared as the mean hash of its blocks, which copies of a page leave as it is.
     """
-    slots = common.cut(template(equivalence_classes(tokens)), "template_slots")
-    block = tokens.select("host", F.col("page_hash").alias("page"), F.explode("blocks").alias("b")).where("b.region <> 'noise'")
-    block = block.select("host", "page", "b.home", F.col("b.region").isin("article", "main").alias("inside"), F.xxhash64("b.home", "b.text").alias("text_hash"))
-    placed = _with_slots(block, common.cut(_of_host(slots, tokens, "slot"), "host_slots"), total, "text_hash", "inner")
-    placed = placed.withColumn("slot", F.expr("get(filter(slots, s -> startswith(home, s.slot)), 0).slot")).where("slot is not null")
+    own = tokens.select("host", "page_hash", "sequence", F.expr("filter(blocks, b -> b.region <> 'noise')").alias("blocks"))
+    pages = _with_slots(own, common.cut(_of_host(slots, rounds, tokens, "slot"), "host_slots"), total, "page_hash", "inner", "rounds", "slots")
+    block = _each_page(pages, ["host", "page_hash"], _placed, _PLACED).select("host", F.col("page_hash").alias("page"), F.explode("placed").alias("b")).where("b.slot is not null")
+    placed = block.select("host", "page", "b.slot", F.col("b.region").isin("article", "main").alias("inside"), F.xxhash64("b.home", "b.text").alias("text_hash"))
     texts = placed.groupBy("host", "page", "slot").agg((F.sum(F.col("text_hash").cast("decimal(38,0)")) / F.count("*")).alias("content"), F.max("inside").alias("inside"))
     each = texts.groupBy("host", "slot", "content").agg(F.count("*").alias("pages"), F.max("inside").alias("inside"))
     of = each.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.count("*").alias("contents"), F.max("inside").alias("inside"))
@@ -294,10 +404,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars: the main text of every page: its slots that vary, of these the ones in articles and main elements, else in what is named so, else all."""
     tokens = common.cut(tokenised(pages), "page_blocks")
     total = tokens.count()
-    roles = common.cut(_of_host(slot_roles(tokens, total), tokens, "slot", "content"), "slot_roles")
-    named = _with_slots(tokens, roles, total, "page_id", "left").withColumn("named", F.expr("filter(coalesce(blocks, array()), b -> b.region <> 'noise')"))
-    varying = named.withColumn("varying", F.expr("filter(named, b -> coalesce(get(filter(slots, s -> startswith(b.home, s.slot)), 0).content, true))"))
-    source = varying.select("page_id", "url", F.expr("if(size(varying) > 0, varying, named)").alias("source"))
+    classes, rounds = differentiated(tokens, total)
+    slots = common.cut(template(classes), "template_slots")
+    table = common.cut(_of_host(slot_roles(tokens, slots, rounds, total), rounds, tokens, "slot", "content"), "slot_roles")
+    own = tokens.select("page_id", "url", "host", "sequence", F.expr("filter(blocks, b -> b.region <> 'noise')").alias("blocks"))
+    placed = _each_page(_with_slots(own, table, total, "page_id", "left", "rounds", "slots"), ["page_id", "url"], _placed, _PLACED)
+    source = placed.withColumn("varying", F.expr("filter(placed, b -> b.varies)")).select("page_id", "url", F.expr("if(size(varying) > 0, varying, placed)").alias("source"))
     best = F.expr("case when exists(source, b -> b.region = 'article') then array('article', 'main') when exists(source, b -> b.region in ('main', 'named')) then array('main', 'named') else array('open') end")
     text = F.array_join(F.expr("transform(filter(source, b -> array_contains(best, b.region)), b -> b.text)"), "\n")
     return source.withColumn("best", best).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

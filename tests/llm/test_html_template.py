@@ -72,3 +72,18 @@ def test_names_of_one_page_make_no_token(spark):
     tokens = html_text.tokenised(spark.createDataFrame(words, PAGES))
     assert [r.slot for r in html_text.template(html_text.equivalence_classes(tokens)).collect()] == ["/body/"]
     assert {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(words, PAGES)).collect()} == {i: f"t{i}" for i in range(60)}
+
+
+def test_tokens_are_told_apart_by_their_gap_in_the_root(spark):
+    page = '<body><div><p>Shop</p><p>Cart</p></div><h1>Head {0}</h1><div><p>Body {0}</p><p>More {0}</p></div><hr><section><div>Old {0}</div></section></body>'
+    assert texts(spark, [page.format(i) for i in range(5)]) == {i: f"Head {i}\nBody {i}\nMore {i}\nOld {i}" for i in range(5)}
+    assert html_text.roles(["/b", "/b/d", "/b/h", "/b/d"], [{"/b", "/b/h"}])[1::2] != ["/b/d"] * 2
+
+
+def test_roles_of_the_root_divide_its_gaps_anew_and_swapped_tokens_leave_it(spark):
+    rows = [(i, "http://h.example/", f"<body><div>a</div><h1>h</h1><div>b</div>{'<h2>x</h2><h3>y</h3>' if i % 2 else '<h3>y</h3><h2>x</h2>'}<p>t{i}</p><h4>z</h4></body>") for i in range(4)]
+    tokens = html_text.tokenised(spark.createDataFrame(rows, PAGES))
+    classes, rounds = html_text.differentiated(tokens, 4)
+    found = rounds.first().rounds
+    assert not {"/body/h2", "/body/h3"} & set(found[0]) and {"/body", "/body/h1", "/body/p", "/body/h4"} <= set(found[0])
+    assert len([r for r in found[-1] if r.startswith("/body/div")]) == 2 and classes.where("in_root and path like '/body/div%'").count() == 2
