@@ -44,13 +44,13 @@ class _Model:
         self.matrix = alignment.BLOSUM62[alignment.encode(self.letters)] if self.profile is None else self.profile
         self.gate, self.mean, self.sd, self.residues = row["gate"], row["decoy_mean"], row["decoy_sd"], row["residues"]
 
-    def scores(self, targets: list[str]) -> np.ndarray:
-        if self.profile is None:
-            return alignment.pair_scores([self.letters] * len(targets), targets).astype(np.float64)
-        return alignment.profile_scores(self.profile, targets)
+    def ends(self, targets: list[str]) -> list[tuple[float, int, int]]:
+        """The score of each target and where it stands."""
+        found = alignment.pair_ends([self.letters] * len(targets), targets) if self.profile is None else alignment.profile_ends(self.profile, targets)
+        return [(float(score), int(i), int(j)) for score, i, j in found.tolist()]
 
-    def align(self, target: str) -> dict:
-        return alignment.align(self.letters, target, True, self.profile)
+    def align(self, target: str, end: tuple[float, int, int]) -> dict:
+        return alignment.align(self.letters, target, True, self.profile, end)
 
     def expected(self, raw: float) -> float:
         bits = (similarity.LAMBDA * raw - math.log(similarity.KARLIN)) / math.log(2.0)
@@ -100,10 +100,10 @@ def _segments(model: _Model, rows: list[dict]) -> list[dict]:
 def _scores(passes: Callable[[_Model, float], bool], align: bool):
     def run(model: _Model, rows: list[dict]) -> list[dict]:
         gapped = sorted((r for r in rows if r["gapped"]), key=lambda r: len(r["t_seq"] or ""))
-        for r, raw in zip(gapped, model.scores([r["t_seq"] or "" for r in gapped]).tolist() if gapped else [], strict=True):
-            r["raw"], r["aligns"] = raw, passes(model, raw)
+        for r, end in zip(gapped, model.ends([r["t_seq"] or "" for r in gapped]), strict=True):
+            r["raw"], r["aligns"] = end[0], passes(model, end[0])
             if r["aligns"] and align:
-                r["alignment"] = model.align(r["t_seq"] or "")
+                r["alignment"] = model.align(r["t_seq"] or "", end)
                 r["core_coverage"] = model.coverage(r["alignment"])
         for r in rows:
             r["aligns"] = r.get("aligns") or False
